@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import mixture, sharding
+from cohortlab.llm import decontam, mixture, sharding
 from cohortlab.llm.common import table
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,8 +39,8 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN yes THEN 1
 
 
 def queries() -> dict:
-    return {"op8_mixture": op8_mixture, "op10_sharding": op10_sharding}
+    return {"op5_decontamination": op5_decontamination, "op8_mixture": op8_mixture, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixture": OP8_SQL}
+    return {"op5_decontamination": op5_decontamination, "op8_mixture": OP8_SQL}
