@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontam, mixture, sharding
-from cohortlab.llm.common import table
+from cohortlab.llm import decontam, language, mixture, sharding
+from cohortlab.llm.common import id_crc, table
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.training_snippets(language.train_rows(docs)))
+    rows = docs.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "text")
+    return language.identify(rows, model, ["doc_id", "held_out"])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +46,8 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN yes THEN 1
 
 
 def queries() -> dict:
-    return {"op5_decontamination": op5_decontamination, "op8_mixture": op8_mixture, "op10_sharding": op10_sharding}
+    return {"op4_language": op4_language, "op5_decontamination": op5_decontamination, "op8_mixture": op8_mixture, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": op5_decontamination, "op8_mixture": OP8_SQL}
+    return {"op4_language": op4_language, "op5_decontamination": op5_decontamination, "op8_mixture": OP8_SQL}
