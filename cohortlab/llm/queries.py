@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import chat, decontam, language, lm, mixture, sharding
+from cohortlab.llm import chat, decontam, fingerprint, language, lm, mixture, sharding
 from cohortlab.llm.common import id_crc, table
 
 
@@ -20,6 +20,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc("doc_id") % 5 == 1
@@ -60,7 +64,7 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN yes THEN 1
 
 
 def queries() -> dict:
-    return {"op4_language": op4_language, "op5_decontamination": op5_decontamination, "op7_lm": op7_lm, "op8_mixture": op8_mixture, "op9_chat": op9_chat, "op10_sharding": op10_sharding}
+    return {"op4_language": op4_language, "op5_decontamination": op5_decontamination, "op6_fingerprint": op6_fingerprint, "op7_lm": op7_lm, "op8_mixture": op8_mixture, "op9_chat": op9_chat, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
