@@ -223,16 +223,17 @@ def scan(text: str, known: list[Template], coverage: float) -> list[tuple[str, f
     for t in known:
         n = len(t.words)
         for lo, hi in regions([where[k] for k in t.keys if k in where], n, len(words)):
-            start = lo
-            while start < hi:  # several matches may stand in one stretch
-                here = words[start:hi]
+            todo = [(lo, hi)]
+            while todo:  # several matches may stand in one stretch
+                lo, hi = todo.pop()
+                here = words[lo:hi]
                 pairs = dense(patience(here, list(t.words)), n)
                 if len(pairs) < coverage * n - 1e-9:
-                    break
+                    continue
                 pairs = tight(pairs, here)
-                first, last = start + pairs[0][0], start + pairs[-1][0]
+                first, last = lo + pairs[0][0], lo + pairs[-1][0]
                 found.append((len(pairs), t.license, len(pairs) / n, first, last))
-                start = last + 1
+                todo += [(lo, first), (last + 1, hi)]
     out, taken = [], []
     for matched, name, share, first, last in sorted(found, key=lambda f: (-f[0], -f[2], f[4] - f[3], f[1], f[3])):
         if all(last < lo or first > hi for lo, hi in taken):
