@@ -71,24 +71,31 @@ class Automaton:
     begin: int  # state at the start of a text
 
     def tables(self) -> tuple:
+        """Arcs as one dictionary a state. A state without arcs has backoff 0 and is passed
+        over; place -1 of the root's lists stands for a word outside the automaton."""
         if not hasattr(self, "_tables"):
-            arcs = dict(zip(self.keys.tolist(), zip(self.weight.tolist(), self.to.tolist(), strict=True), strict=True))
-            self._tables = arcs, self.uni.tolist(), self.uni_to.tolist(), self.backoff.tolist(), self.fail.tolist()
+            arcs: list = [None] * self.backoff.size
+            live = np.zeros(self.backoff.size, bool)
+            live[self.keys >> 32] = True
+            goes = np.arange(self.backoff.size)
+            while (idle := (goes > 0) & ~live[goes]).any():
+                goes[idle] = self.fail[goes[idle]]
+            for key, weight, to in zip(self.keys.tolist(), self.weight.tolist(), goes[self.to].tolist(), strict=True):
+                state = key >> 32
+                if arcs[state] is None:
+                    arcs[state] = {}
+                arcs[state][key & 0xFFFFFFFF] = weight, to
+            self._tables = arcs, [*self.uni.tolist(), 0.0], [*goes[self.uni_to].tolist(), 0], self.backoff.tolist(), goes[self.fail].tolist(), int(goes[self.begin])
         return self._tables
 
     def read(self, ids: Iterable[int]) -> float:
-        """Sum of weights along the text; a negative id is a word outside the automaton,
-        whose own weight is left out here."""
-        arcs, uni, uni_to, backoff, fail = self.tables()
-        get, total, s = arcs.get, 0.0, self.begin
+        """Sum of weights along the text; -1 is a word outside the automaton, whose own
+        weight is left out here."""
+        arcs, uni, uni_to, backoff, fail, s = self.tables()
+        total = 0.0
         for w in ids:
-            if w < 0:
-                while s:
-                    total += backoff[s]
-                    s = fail[s]
-                continue
             while s:
-                a = get(s << 32 | w)
+                a = arcs[s].get(w)
                 if a is not None:
                     total += a[0]
                     s = a[1]
