@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import chat, decontam, fingerprint, language, licenses, lm, mixture, neardup, sharding
+from cohortlab.llm import chat, decontam, fingerprint, language, licenses, lm, mixture, neardup, sharding, toxicity
 from cohortlab.llm.common import id_crc, table
 
 
@@ -13,6 +13,13 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, toxicity.train_rows(table(spark, sf_dir, "labels")))
+    rows = docs.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "text")
+    return toxicity.score(rows, net, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
@@ -72,8 +79,8 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN yes THEN 1
 
 
 def queries() -> dict:
-    return {"op1_neardup": op1_neardup, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_decontamination": op5_decontamination, "op6_fingerprint": op6_fingerprint, "op7_lm": op7_lm, "op8_mixture": op8_mixture, "op9_chat": op9_chat, "op10_sharding": op10_sharding}
+    return {"op1_neardup": op1_neardup, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_decontamination": op5_decontamination, "op6_fingerprint": op6_fingerprint, "op7_lm": op7_lm, "op8_mixture": op8_mixture, "op9_chat": op9_chat, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_neardup": op1_neardup, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_decontamination": op5_decontamination, "op8_mixture": OP8_SQL}
+    return {"op1_neardup": op1_neardup, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_decontamination": op5_decontamination, "op8_mixture": OP8_SQL}
