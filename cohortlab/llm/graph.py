@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b"), F.col("b")).distinct())
+    return materialize(e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b"), F.col("b")).distinct()))
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
