@@ -39,6 +39,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a key table that is broadcast (about 60 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """A materialised key table, marked for broadcast only if it is counted to be small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def text_key(text_col: str) -> Column:
+    """md5 of the text; null counts as the empty text."""
+    return F.md5(text_or_empty(text_col).cast("binary"))
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import materialize, text_or_empty
+from cohortlab.llm.common import materialize, sized, text_key
 
 #: Slot markers (private-use characters): name, number, unit.
 NAME, NUMBER, UNIT, END = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -71,7 +71,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_w
     tokens are compared as one window of their own length; items without tokens never
     match. Null and empty texts match nothing; rows of equal id and text give one row.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.md5(text_or_empty(text_col).cast("binary")).alias("text_key"), F.col(text_col).alias("t"))
+    d = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("t"))
     b = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
     lengths = [r.n for r in b.select(F.least(F.size(tokens(F.col("t"))), F.lit(width)).alias("n")).distinct().collect() if r.n > 0]
     found = None
@@ -109,3 +109,10 @@ def _matches(d: DataFrame, b: DataFrame, width: int, min_windows: int, consisten
         .where(F.col("windows") >= F.least(F.lit(min_windows), F.col("item_windows")))
         .select("id", "text_key", "item", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "slots", "consistency", "verbatim")
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item; all columns are kept as they are."""
+    found = contaminated(docs, benchmark, text_col=text_col, **options).select(F.unhex("text_key").alias("k")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(text_key(text_col)).alias("k"))
+    return rows.join(sized(materialize(found)), "k", "left_anti").select("row.*")

@@ -12,10 +12,11 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.arrow import code_points, map_batches
+from cohortlab.llm.arrow import code_points, map_batches, ship
 from cohortlab.llm.common import id_crc
 
 #: Family of ISO 639-1 codes; any other label is a family of its own.
@@ -194,3 +195,19 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: s
 def train_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose crc32 of the id as text is not 2 modulo 4."""
     return docs.where(id_crc(id_col) % 4 != 2)
+
+
+def identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose language is told with a confidence of `least` or more.
+
+    Rows without a letter have none and go; all columns are kept as they are.
+    """
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def confidence(texts: pd.Series) -> pd.Series:
+        found = (held.value.predict(t) for t in texts)
+        return pd.Series([-1.0 if lang == UNKNOWN else score for lang, _, score in found], dtype="float64")
+
+    return docs.where(confidence(F.col(text_col)) >= least)

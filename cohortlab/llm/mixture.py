@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import WORD, materialize, row_hash, source_key, text_or_empty
@@ -69,18 +69,16 @@ def boundary(rows: DataFrame, state: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken.
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    return {"key": source_key(source_col), "size": word_count(text_col), "hash": F.substring(row_hash(seed, id_col, text_col), 1, DIGITS * LEVELS)}
 
-    `copies` is how often the mix holds the document (0 .. ceil(cap)), `taken` its words
-    there. Null text has size 0 and is never counted; a null source is a source of its
-    own, sorted last; rows equal in id and text share one hash and so one fate; the row at
-    the threshold is taken when that comes nearer to the target; an empty table gives an
-    empty result. Only the named columns are read, so further columns cannot clash.
+
+def mix_plan(rows: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+    """(key, size, hash) rows -> (key, source_size, target, whole, prefix, with_edge), one row a source.
+
+    A source's row is held `whole` times, and once more if its hash is below `prefix`, or
+    equal to it where `with_edge`.
     """
-    rows = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), source_key(source_col).alias("key"), word_count(text_col).alias("size"), F.substring(row_hash(seed, id_col, text_col), 1, DIGITS * LEVELS).alias("hash"))
-    )
     sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = materialize(source_targets(sizes, weights, cap).withColumn("whole", whole.cast("long")))
@@ -88,11 +86,36 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: f
     inside = rows
     for level in range(1, LEVELS + 1):
         state = boundary(inside, state.select("key", "need", "prefix"), DIGITS * level)
+        inside = inside.join(state.select("key", "prefix"), "key").where(F.startswith("hash", "prefix")).select("key", "size", "hash")
         if level == 1:
-            inside = materialize(rows.join(state.select("key", "prefix"), "key").where(F.startswith("hash", "prefix")).select("key", "size", "hash"))
-        elif level < LEVELS:
-            inside = inside.join(state.select("key", "prefix"), "key").where(F.startswith("hash", "prefix")).select("key", "size", "hash")
+            inside = materialize(inside)
     edge = state.select("key", "prefix", (F.col("edge") <= 2 * F.col("need")).alias("with_edge"))
-    plan = materialize(targets.join(edge, "key"))
-    extra = ((F.col("hash") < F.col("prefix")) | ((F.col("hash") == F.col("prefix")) & F.col("with_edge"))).cast("long")
-    return rows.join(plan, "key").withColumn("copies", F.col("whole") + extra).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return materialize(targets.join(edge, "key"))
+
+
+def _copies(hash_: Column) -> Column:
+    return F.col("whole") + ((hash_ < F.col("prefix")) | ((hash_ == F.col("prefix")) & F.col("with_edge"))).cast("long")
+
+
+def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies, taken.
+
+    `copies` is how often the mix holds the document (0 .. ceil(cap)), `taken` its words
+    there. Null text has size 0 and is never counted; a null source is a source of its
+    own, sorted last; rows equal in id and text share one hash and so one fate; the row at
+    the threshold is taken when that comes nearer to the target; an empty table gives an
+    empty result. Only the named columns are read, so further columns cannot clash.
+    """
+    cols = _keyed(docs, seed, id_col, text_col, source_col)
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), *[c.alias(n) for n, c in cols.items()]))
+    plan = mix_plan(rows.select("key", "size", "hash"), weights, cap)
+    return rows.join(plan, "key").withColumn("copies", _copies(F.col("hash"))).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: all columns of `docs`, each row as often as the mix holds it."""
+    cols = _keyed(docs, seed, id_col, text_col, source_col)
+    plan = mix_plan(materialize(docs.select(*[c.alias(n) for n, c in cols.items()])), weights, cap)
+    inner = docs.select(F.struct("*").alias("row"), cols["key"].alias("key"), cols["hash"].alias("hash"))
+    held = inner.join(plan, "key").select("row", _copies(F.col("hash")).cast("int").alias("copies")).where(F.col("copies") > 0)
+    return held.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")
