@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +71,24 @@ def split_st(frames: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def all_splits(frames: DataFrame, seed: int = 42) -> DataFrame:
-    """The four cohorts, one below the other, with a regime column."""
-    made = {"O": split_o(frames, seed), "S": split_s(frames, seed), "T": split_t(frames), "ST": split_st(frames, seed)}
-    return reduce(DataFrame.unionByName, [df.withColumn("regime", F.lit(r)) for r, df in made.items()])
+    """The four cohorts, one below the other, with a regime column.
+
+    One pass: order and withheld sources are found once (S and ST withhold the same), every
+    row gets its four roles and is then laid out once a regime.
+    """
+    k, late = share_of(0.1, "n"), share_of(0.2, "n")
+    early = F.col("rn") <= F.col("n") - late
+    held = holdout(frames.where(F.col("supplied_split") == "training").select("sample_id", "label"), "sample_id", 0.1, seed)
+    rows = in_source_order(frames).join(source_roles(frames, seed).select("source_key", F.col("role").alias("_s")), "source_key")
+    rows = _flagged(rows, held, "sample_id", "_held")
+    roles = {
+        "O": F.when(F.col("supplied_split") == "testing", "test").when(F.col("_held"), "validation").otherwise("train"),
+        "S": F.col("_s"),
+        "T": F.when(F.col("rn") <= F.col("n") - 2 * k, "train").when(F.col("rn") <= F.col("n") - k, "validation").otherwise("test"),
+        "ST": F.when(F.col("_s") == "test", F.when(early, "context_unseen_early").otherwise("test")).otherwise(F.when(early, "train").otherwise("validation")),
+    }
+    laid = F.array(*[F.struct(F.lit(r).alias("regime"), role.alias("role")) for r, role in roles.items()])
+    return rows.select(*frames.columns, F.inline(laid))
 
 
 def summary(splits: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +23,15 @@ def extended(pred: DataFrame, *by: str) -> DataFrame:
 
 
 def _pools(by: list[str], pred: DataFrame, roles: dict[str, tuple[Column, str]], depth: int) -> DataFrame:
-    """For each role its first `depth` rows a group, ranked: (by.., role, nth, sample_id, ..)."""
-    p = pred.withColumn("confidence", -C.confidence()).withColumn("distance", F.abs(F.col("prob_flip") - 0.5))
-    made = []
-    for role, (condition, key) in roles.items():
-        pool = in_first(p.where(condition), by, [F.col(key), F.col("sample_id")], depth)
-        made.append(pool.select(*by, F.lit(role).alias("role"), F.col(key).alias("k"), "sample_id", "relative_path", "target", "prob_flip", "prediction"))
-    return reduce(DataFrame.unionByName, made)
+    """For each role its first `depth` rows a group: (by.., role, k, sample_id, ..).
+
+    One scan: a row is laid out once a role that it may fill; the rank limit is applied
+    before the shuffle as well as after it.
+    """
+    keys = {"confidence": -C.confidence(), "distance": F.abs(F.col("prob_flip") - 0.5)}
+    may = F.array_compact(F.array(*[F.when(condition, F.struct(F.lit(role).alias("role"), keys[key].alias("k"))) for role, (condition, key) in roles.items()]))
+    rows = pred.select(*by, "sample_id", "relative_path", "target", "prob_flip", "prediction", F.inline(may))
+    return in_first(rows, [*by, "role"], [F.col("k"), F.col("sample_id")], depth)
 
 
 def _conditions() -> tuple[Column, Column]:
@@ -63,7 +63,6 @@ def many_cases(pred: DataFrame) -> DataFrame:
     """Five roles a regime and one more borderline row of regime O; only rows that exist."""
     wrong, right = _conditions()
     roles = {"correct_notflip": (right & (F.col("target") == 0), "confidence"), "correct_flip": (right & (F.col("target") == 1), "confidence"), "highest_conf_error": (wrong, "confidence"), "near_threshold_error": (wrong, "distance"), "near_threshold_correct": (right, "distance")}
-    pools = _pools(["regime"], pred, roles, 3)
-    more = _pools(["regime"], pred.where(F.col("regime") == "O"), {"additional_borderline": (F.lit(True), "distance")}, 6)
-    out = _resolve(["regime"], pools.unionByName(more), [*roles, "additional_borderline"])
+    roles |= {"additional_borderline": (F.col("regime") == "O", "distance")}
+    out = _resolve(["regime"], _pools(["regime"], pred, roles, 6), list(roles))
     return out.withColumnsRenamed({"role": "selection_role", "prediction": "predicted"})
