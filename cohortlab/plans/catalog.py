@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
-from cohortlab.operators import cohorts, constraints, errors, manifest, maps, metrics, ranking, reports, resample, temporal, training
+from cohortlab.operators import cohorts, constraints, errors, manifest, maps, metrics, models, ranking, reports, resample, temporal, training
 from cohortlab.sources import files, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,6 +377,42 @@ def activation_stats(spark, d):
     return maps.activation_stats(fixtures.table(spark, d, "embeddings"), "embedding", ["vec_id"])
 
 
+@query
+def run_numbers(spark, d):
+    points = temporal.coverage(_points(spark, d))
+    order = F.when(F.col("regime") == "T", 1).otherwise(2)
+    return points.select("regime", "coverage_percent", F.row_number().over(Window.orderBy(order, "coverage_percent")).alias("run_number"))
+
+
+@query
+def global_epoch(spark, d):
+    """Epochs of the full stage count on from the five of the head stage."""
+    stage = F.when(F.col("epoch") <= 5, "head").otherwise("full")
+    own = fixtures.epoch_scores(spark).select("run", stage.alias("stage"), F.when(F.col("epoch") <= 5, F.col("epoch")).otherwise(F.col("epoch") - 5).alias("epoch"))
+    return own.withColumn("global_epoch", F.col("epoch") + F.when(F.col("stage") == "full", 5).otherwise(0))
+
+
+@query
+def prefixed_metrics(spark, d):
+    scored = fixtures.predictions(_splits(spark, d).where("role IN ('validation', 'test')"))
+    rows = metrics.basic(scored, "regime", "role").withColumn("role", F.when(F.col("role") == "validation", "val").otherwise("test"))
+    return reports.wide_metrics(rows, "regime", "role", ["macro_f1", "accuracy"], ["val", "test"])
+
+
+@query
+def audit_rows(spark, d):
+    return reports.transposed(audit(spark, d))
+
+
+@query
+def stand_in_model(spark, d):
+    """Scores of a classifier trained on two thirds of the embeddings, applied to the rest."""
+    rows = fixtures.table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("target"))
+    held = C.hash_number("m", F.col("vec_id")) % 3 == 0
+    model = models.fit(rows.where(~held), "embedding")
+    return models.score(rows.where(held), model, "embedding").select("vec_id", "target", F.round("prob_flip", 6).alias("prob_flip"), "prediction")
+
+
 ARCHIVE = f'{files.SHEET_MARK}: 1 / 1 TABS>\nTAB NAME: 16_x.csv>index,regime,finding,point\n0,O,"near, ceiling",0.994969\n1,S,lower,0.958387\n'
 PLAIN = "index,regime,finding,point\n2,T,late,0.90914\n"
 #: A small report table, and the same as measured with two cells changed.

@@ -236,4 +236,8 @@ ORACLE: dict[str, str] = {
     "archive_read": "SELECT * FROM (VALUES (0, 'O', 'near, ceiling', 0.994969::DOUBLE), (1, 'S', 'lower', 0.958387), (2, 'T', 'late', 0.90914)) v(\"index\", regime, finding, point)",
     "md_table": "SELECT * FROM (VALUES ('1', 'T', '579', '2291', '0.739814'), ('2', 'T', '1208', '1510', '0.707684'), ('3', 'ST', '460', '467', '66.2')) v(run, regime, n_train, n_future, macro_f1)",
     "drift": "SELECT * FROM (VALUES (2, 'n_future', 1510::DOUBLE, 1511::DOUBLE), (3, 'macro_f1', 66.2, 66.3)) v(run, \"column\", reported, measured)",
+    "run_numbers": with_(PTS, "SELECT regime, coverage_percent, row_number() OVER (ORDER BY CASE WHEN regime = 'T' THEN 1 ELSE 2 END, coverage_percent) AS run_number FROM (SELECT DISTINCT regime, coverage_percent FROM pts)"),
+    "global_epoch": with_(SCORES, "SELECT run, CASE WHEN epoch <= 5 THEN 'head' ELSE 'full' END AS stage, CASE WHEN epoch <= 5 THEN epoch ELSE epoch - 5 END AS epoch, epoch AS global_epoch FROM es"),
+    "prefixed_metrics": with_(f"{S}, te AS (SELECT * FROM al WHERE role IN ('validation', 'test')), {predicted('pt', 'te')}, cf AS (SELECT regime, role, {CELLS} FROM pt GROUP BY ALL), ml AS (SELECT regime, role, round({MACRO}, 6) AS f, round({div('tp + tn', 'tp + tn + fp + fn')}, 6) AS a FROM cf)", "SELECT regime, max(f) FILTER (role = 'validation') AS val_macro_f1, max(a) FILTER (role = 'validation') AS val_accuracy, max(f) FILTER (role = 'test') AS test_macro_f1, max(a) FILTER (role = 'test') AS test_accuracy FROM ml GROUP BY regime"),
 }
+ORACLE["audit_rows"] = f"SELECT name, value::VARCHAR AS value FROM (UNPIVOT ({ORACLE['audit']}) ON COLUMNS(*) INTO NAME name VALUE value)"

@@ -29,11 +29,11 @@ def plain(v):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(sql.ORACLE)
+    assert set(catalog.queries()) - {"stand_in_model"} == set(sql.ORACLE)  # a fitted model is not SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(sql.ORACLE))
 def test_query_equals_sql(spark, con, name):
     df = catalog.queries()[name](spark, DIR)
     cols = sorted(df.columns)

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cohortlab.operators import cohorts, constraints, errors, manifest, metrics, ranking, resample, temporal, training
+from cohortlab.operators import cohorts, constraints, errors, manifest, metrics, models, ranking, resample, temporal, training
 from cohortlab.sources import files
 from cohortlab.streaming import replay
 
@@ -260,3 +260,14 @@ def test_running_counts_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.g, r.tp, r.fp, r.fn) for r in spark.sql("SELECT * FROM running").collect()} == {("a", 1, 1, 0), ("b", 0, 0, 1)}
+
+
+def test_stand_in_model_is_stored_and_applied(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(2 * (i % 2) - 1, 1, 4)], i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, target int")
+    model = models.fit(df, "x")
+    models.save(model, f"{tmp_path}/m")
+    got = models.score(df, models.load(f"{tmp_path}/m"), "x").collect()
+    assert np.mean([r.prediction == r.target for r in got]) > 0.9
+    assert all((r.prob_flip >= 0.5) == r.prediction for r in got)
