@@ -83,3 +83,9 @@ def accepted(df: DataFrame, condition: Column, message: str) -> DataFrame:
     if not df.where(~F.coalesce(condition, F.lit(False))).isEmpty():
         raise ConstraintViolation(message)
     return df
+
+
+def not_empty(df: DataFrame, message: str = "no rows") -> DataFrame:
+    if df.isEmpty():
+        raise ConstraintViolation(message)
+    return df

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
+from cohortlab.operators.constraints import ConstraintViolation
 
 PARTS = ("tn", "fp", "fn", "tp")
 
@@ -66,6 +67,13 @@ def pairing(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("ca").isNotNull() & F.col("cb").isNotNull()).alias("paired"), F.count_if(F.col("cb").isNull()).alias("only_a"), F.count_if(F.col("ca").isNull()).alias("only_b"), F.count_if((F.col("ca") > 1) | (F.col("cb") > 1)).alias("repeated"))
 
 
+def require_paired(a: DataFrame, b: DataFrame) -> None:
+    """Raise unless both prediction sets hold exactly the same samples, each once."""
+    r = pairing(a, b).first()
+    if not r.paired or r.only_a or r.only_b or r.repeated:
+        raise ConstraintViolation(f"predictions are not exactly paired: {r.asDict()}")
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, reps: int = 5000, seed: int = 42) -> DataFrame:
     """Interval of macro F1 of b minus a over the same resampled sources."""
     rows = paired(a, b)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
 from cohortlab.operators.cohorts import _flagged, unseen_sources
+from cohortlab.operators.constraints import ConstraintViolation, not_empty
 from cohortlab.operators.ranking import in_source_order
 
 #: Shares of a source that are observed, and what a window needs to be reported.
@@ -14,20 +15,23 @@ COVERAGES = (25, 50, 75, 90)
 WIDTH, LEAST_FRAMES, LEAST_SOURCES = 3, 20, 8
 
 
-def checkpoints(frames: DataFrame, seed: int = 42) -> DataFrame:
+def checkpoints(frames: DataFrame, seed: int = 42, coverages: tuple[int, ...] = COVERAGES, regimes: tuple[str, ...] = ("T", "ST")) -> DataFrame:
     """Every row at every coverage and regime T and ST: part, horizon_position, frame_position_percent.
 
     The first floor(coverage x n) rows of a source, two at least, are observed; the last
     fifth of them, one at least, validates; the others train; the rest is future. In ST,
-    withheld sources give the future only and the other sources all but the future.
+    withheld sources give the future only and the other sources all but the future. Other
+    regimes and coverages are refused.
     """
+    if not regimes or not coverages or set(regimes) - {"T", "ST"} or set(coverages) - set(COVERAGES):
+        raise ConstraintViolation(f"regimes {regimes} or coverages {coverages}")
     rows = _flagged(in_source_order(frames), unseen_sources(frames, seed), "source_key", "unseen")
-    rows = rows.withColumn("coverage_percent", F.explode(F.array(*[F.lit(c) for c in COVERAGES])))
+    rows = rows.withColumn("coverage_percent", F.explode(F.array(*[F.lit(c) for c in coverages])))
     rows = rows.withColumn("observed", F.greatest(F.lit(2), F.floor(F.col("coverage_percent") / 100.0 * F.col("n"))))
     fitted = F.greatest(F.lit(1), F.col("observed") - F.greatest(F.lit(1), F.floor(F.lit(0.2) * F.col("observed"))))
     part = F.when(F.col("rn") <= fitted, "train").when(F.col("rn") <= F.col("observed"), "validation").otherwise("future")
     future = F.col("part") == "future"
-    rows = rows.withColumn("part", part).withColumn("regime", F.explode(F.array(F.lit("T"), F.lit("ST"))))
+    rows = rows.withColumn("part", part).withColumn("regime", F.explode(F.array(*[F.lit(r) for r in regimes])))
     rows = rows.where((F.col("regime") == "T") | (F.col("unseen") == future))
     return rows.withColumn("horizon_position", F.when(future, F.col("rn") - F.col("observed"))).withColumn("frame_position_percent", F.when(future, F.col("rn") / F.col("n") * 100)).drop("observed")
 
@@ -87,3 +91,12 @@ def frozen_cohort(frames: DataFrame, split: DataFrame) -> DataFrame:
     per = by.agg(F.count_if(known).alias("known_sources"), F.count_if(unseen).alias("unseen_sources"), F.count_if(known & unseen).alias("in_both"), F.count_if(unseen & ((F.col("context_unseen_early") == 0) | (F.col("test") == 0))).alias("incomplete_unseen"), F.sum("context_unseen_early").alias("n_context"), F.sum("test").alias("n_late"))
     missing = frames.select("source_key").distinct().join(split.select("source_key").distinct(), "source_key", "left_anti").agg(F.count("*").alias("missing_sources"))
     return per.join(F.broadcast(missing))  # one row
+
+
+def require_cohort(facts: DataFrame, unseen_sources: int | None = None, n_context: int | None = None, n_late: int | None = None) -> None:
+    """Raise unless a frozen split is complete and disjoint and has the expected counts."""
+    r = not_empty(facts).first()
+    wrong = [n for n in ("in_both", "incomplete_unseen", "missing_sources") if r[n]]
+    wrong += [n for n, want in (("unseen_sources", unseen_sources), ("n_context", n_context), ("n_late", n_late)) if want is not None and r[n] != want]
+    if wrong:
+        raise ConstraintViolation(f"frozen cohort: {', '.join(f'{n} = {r[n]}' for n in wrong)}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
+from cohortlab.operators.constraints import ConstraintViolation
 
 
 def epoch_log(batches: DataFrame) -> DataFrame:
@@ -62,6 +63,13 @@ def sweep_summary(trials: DataFrame, target: int = 30) -> DataFrame:
     return s.withColumn("target_reached", F.col("qualifying") >= target)
 
 
+def require_trials(trials: DataFrame, target: int = 30) -> None:
+    """Raise if a sweep ends with fewer than `target` qualifying trials."""
+    short = sweep_summary(trials, target).where(~F.col("target_reached")).orderBy("sweep").limit(5).collect()
+    if short:
+        raise ConstraintViolation("too few qualifying trials: " + ", ".join(f"sweep {r.sweep}: {r.qualifying}" for r in short))
+
+
 def resolve_config(trials: DataFrame) -> DataFrame:
     return trials.withColumn("weight_decay", F.when(F.col("weight_decay_mode") == "zero", 0.0).otherwise(F.col("positive_weight_decay")))
 

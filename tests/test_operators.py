@@ -271,3 +271,43 @@ def test_stand_in_model_is_stored_and_applied(spark, tmp_path):
     got = models.score(df, models.load(f"{tmp_path}/m"), "x").collect()
     assert np.mean([r.prediction == r.target for r in got]) > 0.9
     assert all((r.prob_flip >= 0.5) == r.prediction for r in got)
+
+
+def test_cases_that_must_raise(spark, frames):
+    for bad in ({"regimes": ("O",)}, {"coverages": (60,)}, {"regimes": ()}):
+        with pytest.raises(constraints.ConstraintViolation):
+            temporal.checkpoints(frames, **bad)
+    facts = temporal.frozen_cohort(frames, cohorts.split_st(frames))
+    r = facts.first()
+    temporal.require_cohort(facts, r.unseen_sources, r.n_context, r.n_late)
+    with pytest.raises(constraints.ConstraintViolation):
+        temporal.require_cohort(facts, r.unseen_sources + 1)
+    with pytest.raises(constraints.ConstraintViolation):
+        temporal.require_cohort(temporal.frozen_cohort(frames, cohorts.split_st(frames).where("source_key <> 'flip::0003'")))
+    pred = frames.selectExpr("sample_id", "source_key", "target", "1 AS prediction")
+    resample.require_paired(pred, pred)
+    for other in (pred.limit(5), pred.union(pred.limit(1)), pred.limit(0)):
+        with pytest.raises(constraints.ConstraintViolation):
+            resample.require_paired(pred, other)
+    with pytest.raises(constraints.ConstraintViolation):
+        constraints.not_empty(pred.limit(0))
+    trials = spark.createDataFrame([(1, k, "finished", 0.5) for k in range(1, 6)], "sweep int, attempt int, status string, f1 double")
+    training.require_trials(trials, 5)
+    with pytest.raises(constraints.ConstraintViolation):
+        training.require_trials(trials, 6)
+
+
+def test_checkpoint_parts_never_overlap(frames):
+    points = temporal.checkpoints(frames)
+    per = points.groupBy("regime", "coverage_percent", "sample_id").count().where("count > 1")
+    assert per.isEmpty()
+    st_rows = points.where("regime = 'ST'").groupBy("source_key").agg({"part": "collect_set"}).collect()
+    assert all(set(r[1]) == {"future"} or "future" not in r[1] for r in st_rows)
+    t = points.where("regime = 'T'").groupBy("coverage_percent").count().collect()
+    assert {r["count"] for r in t} == {frames.count()}
+
+
+def test_roles_do_not_depend_on_row_order(frames):
+    a = sorted((r.regime, r.sample_id, r.role) for r in cohorts.all_splits(frames).collect())
+    b = sorted((r.regime, r.sample_id, r.role) for r in cohorts.all_splits(frames.repartition(7).sortWithinPartitions("frame_number")).collect())
+    assert a == b
