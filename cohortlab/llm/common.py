@@ -8,13 +8,16 @@ a re-read and never a recomputation of a half-gone cache.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_RUN = uuid.uuid4().hex[:8]
 #: Words of the data contracts: runs of anything but space, tab .. carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,10 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_folders: set[str] = set()
+
+
+def release() -> None:
+    """Delete the tables this application has written to shared folders. Results that were
+    not written or collected by then cannot be read any more; called when Python ends."""
+    jvm = SparkContext._jvm
+    while _folders and jvm:
+        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        release()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: short lineage, known size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cohortlab/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/cohortlab-{spark.sparkContext.applicationId}-{_RUN}"
+    _folders.add(folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
