@@ -12,7 +12,7 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,8 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 ORDERS, BITS, PIECE = 3, 14, 1 << 19
+#: Table rows gathered at once.
+BLOCK = 1 << 17
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
@@ -95,7 +97,9 @@ class LanguageModel:
         for at in range(0, len(text), PIECE):
             g = grams(text[at : at + PIECE])
             if g is not None:
-                total += self.table[g.ravel()].sum(0, dtype=np.float64)
+                rows = g.ravel()
+                for i in range(0, rows.size, BLOCK):
+                    total += self.table[rows[i : i + BLOCK]].sum(0, dtype=np.float64)
                 n += g.size
         return total / np.sqrt(n) if n else None
 
@@ -169,7 +173,7 @@ def training_snippets(docs: DataFrame, *, per_language: int = 500, text_col: str
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    h = F.xxhash64(F.col(id_col).cast("string"), F.substring(text_col, 1, 200))
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     picked = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.shiftrightunsigned(h, 1).alias("h")).where(F.col("h") / float(1 << 63) < F.element_at(share, F.col("lang")))
     rows = map_batches(picked, _snippets, "text string, lang string").collect()
     return sorted((r.text, r.lang) for r in rows)
@@ -205,9 +209,9 @@ def identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0, tex
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def confidence(texts: pd.Series) -> pd.Series:
-        found = (held.value.predict(t) for t in texts)
-        return pd.Series([-1.0 if lang == UNKNOWN else score for lang, _, score in found], dtype="float64")
+    @F.arrow_udf("double")
+    def confidence(texts: pa.Array) -> pa.Array:
+        found = (held.value.predict(t) for t in texts.to_pylist())
+        return pa.array([-1.0 if lang == UNKNOWN else score for lang, _, score in found], pa.float64())
 
     return docs.where(confidence(F.col(text_col)) >= least)
