@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from cohortlab.llm.common import materialize
 
 END = b""
 #: Entries a task holds before it passes its partial counts on.
-HELD_WORDS, HELD_GRAMS = 300_000, 3_000_000
+HELD_WORDS, HELD_GRAMS = 300_000, 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,6 +38,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def texts_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[str | None]:
+    """The batch's texts, a few rows as Python strings at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield from batch.column(0).slice(at, rows).to_pylist()
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over a one-column table of texts; the end is the empty word."""
     ship(texts.sparkSession)
@@ -44,7 +51,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch):
                 held.update(words_of(text))
                 held[END] += 1
                 if len(held) > HELD_WORDS:
@@ -70,8 +77,14 @@ class Automaton:
     fail: np.ndarray
     begin: int  # state at the start of a text
 
+    def ids(self, words: list[bytes]) -> list[int]:
+        """Ids of a text's words (-1: outside the automaton) and of its end."""
+        out = list(map(self.words.get, words, repeat(-1)))
+        out.append(self.words[END])
+        return out
+
     def tables(self) -> tuple:
-        """Arcs as one dictionary a state. A state without arcs has backoff 0 and is passed
+        """Arcs as one dictionary (its lookup) a state. A state without arcs has backoff 0 and is passed
         over; place -1 of the root's lists stands for a word outside the automaton."""
         if not hasattr(self, "_tables"):
             arcs: list = [None] * self.backoff.size
@@ -85,7 +98,7 @@ class Automaton:
                 if arcs[state] is None:
                     arcs[state] = {}
                 arcs[state][key & 0xFFFFFFFF] = weight, to
-            self._tables = arcs, [*self.uni.tolist(), 0.0], [*goes[self.uni_to].tolist(), 0], self.backoff.tolist(), goes[self.fail].tolist(), int(goes[self.begin])
+            self._tables = [a and a.get for a in arcs], [*self.uni.tolist(), 0.0], [*goes[self.uni_to].tolist(), 0], self.backoff.tolist(), goes[self.fail].tolist(), int(goes[self.begin])
         return self._tables
 
     def read(self, ids: Iterable[int]) -> float:
@@ -95,7 +108,7 @@ class Automaton:
         total = 0.0
         for w in ids:
             while s:
-                a = arcs[s].get(w)
+                a = arcs[s](w)
                 if a is not None:
                     total += a[0]
                     s = a[1]
@@ -152,29 +165,25 @@ def _gram_counts(texts: DataFrame, held, cut: int, least: int) -> DataFrame:
     """(key, c) of n-grams (state of `cut` words, word) that occur `least` times or more."""
     ship(texts.sparkSession)
 
-    def fold(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        k, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        u, inv = np.unique(k, return_inverse=True)
-        return u, np.bincount(inv, c, u.size).astype(np.int64)
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(parts))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.diff(np.append(first, keys.size)))], ["key", "c"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, parts, n = held.value, [], 0
-        get = a.words.get
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = np.array([get(w, -1) for w in words_of(text)] + [a.words[END]], np.int64)
+            for text in texts_of(batch):
+                ids = np.array(a.ids(words_of(text)), np.int64)
                 states = a.walk(ids, cut)
                 ok = (states > 0) & (ids >= 0)
-                parts.append((states[ok] << 32 | ids[ok], np.ones(int(ok.sum()), np.int64)))
-                n += parts[-1][0].size
+                parts.append(states[ok] << 32 | ids[ok])
+                n += parts[-1].size
                 if n > HELD_GRAMS:
-                    parts = [fold(parts)]
-                    n = parts[0][0].size
-                    if n > HELD_GRAMS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["key", "c"])
-                        parts, n = [], 0
+                    yield counted(parts)
+                    parts, n = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in fold(parts)], ["key", "c"])
+            yield counted(parts)
 
     return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
@@ -274,15 +283,12 @@ def score(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str
 
     def run(cols: dict[str, list]) -> dict[str, object]:
         a, n_tokens, n_known, base, total, rare, times = held.value, [], [], [], [], [], []
-        get = a.words.get
-        end = a.words[END]
         seen = bool(model_tokens)
         for text in cols.pop("__text"):
             tokens = words_of(text)
-            ids = [get(w, -1) for w in tokens]
-            ids.append(end)
-            out = Counter(w for w, i in zip(tokens, ids, strict=False) if i < 0)
+            ids = a.ids(tokens)
             arr = np.array(ids, np.int64)
+            out = Counter(compress(tokens, (arr < 0).tolist()))
             arr = arr[arr >= 0]
             n_tokens.append(len(ids))
             n_known.append(arr.size if seen else 0)
