@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: s
 
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return map_batches(kept, run, f"{schema}, lang_pred string, family string, score double")
+    return map_batches(kept, run, f"{schema}, lang_pred string, family string, score double", slice_rows=500)
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -211,7 +211,7 @@ def identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0, tex
 
     @F.arrow_udf("double")
     def confidence(texts: pa.Array) -> pa.Array:
-        found = (held.value.predict(t) for t in texts.to_pylist())
+        found = (held.value.predict(t) for at in range(0, len(texts), 500) for t in texts.slice(at, 500).to_pylist())
         return pa.array([-1.0 if lang == UNKNOWN else score for lang, _, score in found], pa.float64())
 
     return docs.where(confidence(F.col(text_col)) >= least)
