@@ -70,6 +70,11 @@ def test_empty_table(spark):
     assert mixture.mixed(table(spark, [])).count() == 0
 
 
+def test_sql_is_text_and_its_queries_exist():
+    assert set(queries.oracle_sql()) <= set(queries.queries())
+    assert all(isinstance(x, str) for x in queries.oracle_sql().values())
+
+
 def test_query_against_its_sql(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
