@@ -5,7 +5,8 @@ slots. A template window is a run of tokens whose slots count only by their type
 question with other figures or other people has the same windows. Windows are compared
 by hash join; then, for each place in a document where an item's windows line up, the
 slot values are held against each other: one benchmark value must always stand for the
-same document value.
+same document value. Windows with more than half slots carry too little text for that and
+are hashed with their values, so that only the very same values match.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ def is_slot(t: Column) -> Column:
 
 
 def template_windows(df: DataFrame, keep: list[str], text: Column, width: int) -> DataFrame:
-    """keep.. , pos, h (hash of the window's template), slots (its marked values, or null)."""
+    """keep.. , pos, h (hash of the window's template, with the values if more than half are
+    slots), slots (its marked values, or null)."""
     tok = _hold(df, keep, tok=tokens(text))
     arrays = _hold(
         tok, keep, tok=F.col("tok"), th=F.transform("tok", lambda t: F.xxhash64(F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))), slotted=F.exists("tok", is_slot), n=F.size("tok")
@@ -56,7 +58,12 @@ def template_windows(df: DataFrame, keep: list[str], text: Column, width: int) -
         F.sequence(F.lit(1), F.col("n") - (width - 1)),
         lambda i: F.struct(F.xxhash64(F.slice("th", i, width)).alias("h"), F.when(F.col("slotted"), F.filter(F.slice("tok", i, width), is_slot)).alias("slots")),
     )
-    return _hold(arrays, keep, wins=wins).select(*keep, F.posexplode("wins").alias("pos", "x")).select(*keep, "pos", "x.h", "x.slots")
+    rows = _hold(arrays, keep, wins=wins).select(*keep, F.posexplode("wins").alias("pos", "x")).select(*keep, "pos", "x.h", "x.slots")
+    return rows.withColumn("h", F.when(is_heavy("slots", width), F.xxhash64("h", "slots")).otherwise(F.col("h")))
+
+
+def is_heavy(slots: str, width: int) -> Column:
+    return 2 * F.coalesce(F.size(slots), F.lit(0)) > width
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_windows: int = 3, consistency: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -67,7 +74,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_w
     (distinct benchmark values over distinct value pairs, 1 without slots), verbatim (all
     slot values equal). A pair is returned when `min_windows` windows, or all of a shorter
     item's, are found in places whose consistency is at least `consistency`. Windows with
-    more than half slots carry no text and are not compared. Items with fewer than `width`
+    more than half slots match only with equal values; an item is also found by all or
+    `min_windows` of its other windows alone. Items with fewer than `width`
     tokens are compared as one window of their own length; items without tokens never
     match. Null and empty texts match nothing; rows of equal id and text give one row.
     """
@@ -86,27 +94,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_w
 
 def _matches(d: DataFrame, b: DataFrame, width: int, min_windows: int, consistency: float) -> DataFrame:
     items = template_windows(b, ["item"], F.col("t"), width)
-    items = materialize(items.where(2 * F.coalesce(F.size("slots"), F.lit(0)) <= width).select("item", F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots")))
-    sizes = items.groupBy("item").agg(F.count_distinct("bpos").alias("item_windows"))
+    items = materialize(items.select("item", F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots")))
+    text = ~is_heavy("bslots", width)
+    sizes = items.groupBy("item").agg(F.count_distinct("bpos").alias("item_windows"), F.count_distinct(F.when(text, F.col("bpos"))).alias("text_windows"))
     small = items.count() <= BROADCAST_WINDOWS
     hits = template_windows(d, ["id", "text_key"], F.col("t"), width).join(F.broadcast(items) if small else items, "h")
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("bslots").isNotNull(), F.zip_with("bslots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d")))))))
+    values = F.when(F.col("bslots").isNotNull(), F.zip_with("bslots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
+    pairs = lambda which: F.array_distinct(F.flatten(F.collect_set(F.when(which, values))))
+    # windows of equal values need no test of consistency, and have no part in it
     places = (
         hits.groupBy("id", "text_key", "item", (F.col("pos") - F.col("bpos")).alias("shift"))
-        .agg(F.collect_set("bpos").alias("at"), pairs.alias("pairs"))
+        .agg(F.collect_set(F.when(text, F.col("bpos"))).alias("at"), F.collect_set(F.when(~text, F.col("bpos"))).alias("heavy_at"), pairs(text).alias("pairs"), pairs(~text).alias("equal"))
         .withColumn("values", F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))))
         .withColumn("share", F.when(F.size("pairs") > 0, F.col("values") / F.size("pairs")).otherwise(1.0))
-        .where(F.col("share") >= consistency)
     )
+    holds = F.col("share") >= consistency
+    places = places.where(holds | (F.size("heavy_at") > 0)).select(
+        "id", "text_key", "item", "heavy_at",
+        F.when(holds, F.col("at")).otherwise(F.slice("at", 1, 0)).alias("at"),
+        F.when(holds, F.array_union("pairs", "equal")).otherwise(F.col("equal")).alias("pairs"),
+        F.when(holds, F.col("share")).otherwise(1.0).alias("share"),
+    )
     found = places.groupBy("id", "text_key", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("in_text"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("heavy_at")))).alias("heavy"),
         F.sum(F.size("pairs")).alias("slots"),
         F.min("share").alias("consistency"),
         F.min(F.forall("pairs", lambda p: p["b"] == p["d"])).alias("verbatim"),
     )
+    enough = lambda n, of: F.col(n) >= F.greatest(F.least(F.lit(min_windows), F.col(of)), F.lit(1))
     return (
         found.join(F.broadcast(sizes) if small else sizes, "item")
-        .where(F.col("windows") >= F.least(F.lit(min_windows), F.col("item_windows")))
+        .withColumn("windows", F.col("in_text") + F.col("heavy"))
+        .where(enough("in_text", "text_windows") | enough("windows", "item_windows"))
         .select("id", "text_key", "item", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "slots", "consistency", "verbatim")
     )
 

@@ -70,3 +70,19 @@ def test_windows_of_slots_alone_do_not_match(spark):
     d = spark.createDataFrame([(1, "1 2 3 4 5 6 7 8 9 10 11 12 13 14")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "90 91 92 93 94 95 96 97 98 99 100 101")], "item_id long, text string")
     assert dc.contaminated(d, b).count() == 0
+
+
+def test_verbatim_copies_of_slot_heavy_items_are_found(spark):
+    items = {1: "What is 12 + 34 * 56?", 2: "7 11 18 29 47 76 123 199 322 521 843", 3: "the winners were, Anna Berg, Carl Dahl, Eva Falk, Gert Holm, Ida Juhl"}
+    docs = [(k, f"some words stand here first. {t} and some more follow") for k, t in items.items()]
+    docs += [(11, "first. What is 13 + 34 * 57? and more"), (12, "first 7 11 18 29 47 75 123 198 322 520 843 and more")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.verbatim) for r in dc.contaminated(d, b).collect()) == [(k, k, True) for k in items]
+
+
+def test_slot_heavy_windows_do_not_raise_what_the_others_need(spark):
+    item = "please add up the numbers of this list 7 11 18 29 47 76 123 199 322"
+    d = spark.createDataFrame([(1, "now please add up the numbers of this list 8 12 19 30 48 77 124 200 323")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, "add up the numbers of this list 5 6 7 8 9 1 2")], "item_id long, text string")
+    assert 1 in {r.item_id for r in dc.contaminated(d, b).collect()}
