@@ -184,6 +184,12 @@ def regions(places: list[list[int]], n: int, words: int) -> list[tuple[int, int]
     return out
 
 
+def windows(lo: int, hi: int, n: int) -> list[tuple[int, int]]:
+    """Overlapping pieces of n and a half words, an eighth of n apart."""
+    step, size = max(1, n // 8), n + n // 2
+    return [(i, min(i + size, hi)) for i in range(lo, max(hi - size, lo) + step, step) if i < hi]
+
+
 def dense(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """Of the matched words, the run inside a stretch of twice the template that has most."""
     best, lo = (0, 0), 0
@@ -221,7 +227,7 @@ def scan(text: str, known: list[Template], coverage: float) -> list[tuple[str, f
             where.setdefault(w, []).append(i)
     found = []
     for t in known:
-        n = len(t.words)
+        n, own = len(t.words), frozenset(t.words)
         for lo, hi in regions([where[k] for k in t.keys if k in where], n, len(words)):
             todo = [(lo, hi)]
             while todo:  # several matches may stand in one stretch
@@ -229,6 +235,9 @@ def scan(text: str, known: list[Template], coverage: float) -> list[tuple[str, f
                 here = words[lo:hi]
                 pairs = dense(patience(here, list(t.words)), n)
                 if len(pairs) < coverage * n - 1e-9:
+                    # copies near one another leave no unique words
+                    if len(here) > n + n // 2 and sum(map(own.__contains__, here)) >= coverage * n - 1e-9:
+                        todo += windows(lo, hi, n)
                     continue
                 pairs = tight(pairs, here)
                 first, last = lo + pairs[0][0], lo + pairs[-1][0]

@@ -77,6 +77,18 @@ def test_long_headers_with_holders_and_lost_words():
     assert [g[0] for g in L.scan(two, known, 0.85)] == ["Apache-2.0", "MIT", "MIT"]
 
 
+def test_long_notices_twice_near_one_another():
+    known = L.templates(L.TEMPLATES, 0.85)
+    for name in ("MIT", "Apache-2.0", "BSD-3-Clause"):
+        notice = max(L.TEMPLATES[name], key=len)
+        for gap in (0, 10, 40, 60, 80, 150):
+            for copies in (2, 3):
+                text = f" {prose(gap)} ".join([notice] * copies)
+                got = L.scan(f"{prose(200)} {text} {prose(200)}", known, 0.85)
+                assert [g[0] for g in got] == [name] * copies, (name, gap, copies)
+                assert all(g[1] > 0.95 for g in got)
+
+
 def test_table_with_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "x" * 100_000), (4, "Released under the MIT License."), (4, "Released under the MIT License."), (None, "licensed under cc by-sa 4.0")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, license int")
