@@ -91,13 +91,25 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, reps: int = 5000, seed: int = 4
     return point.join(F.broadcast(interval(delta(sums)).select("n_resamples", "ci_lower", "ci_upper")))  # one row
 
 
-def frame_bootstrap(pred: DataFrame, *by: str, reps: int = 50, seed: int = 42) -> DataFrame:
+def frame_bootstrap(pred: DataFrame, *by: str, reps: int = 50, seed: int = 42, draws: str = "hash") -> DataFrame:
     """Interval of macro F1 over resampled frames.
 
     A draw only matters by its confusion cell, so frames are drawn from the four counts and
-    no frame is joined.
+    no frame is joined; `draws="multinomial"` takes each resample's four counts at once,
+    whatever the number of frames.
     """
     counts = pred.groupBy(*by).agg(F.count("*").alias("k"), *C.cells())
+    if draws == "multinomial":
+        rows = []
+        for i, r in enumerate(counts.orderBy(*by).collect()):  # a row a group
+            parts = [r[p] for p in PARTS]
+            for taken in np.random.default_rng([seed, i]).multinomial(r.k, np.array(parts) / r.k, reps).tolist():
+                rows.append((*[r[b] for b in by], *taken))
+        kinds = [f"`{b}` {counts.schema[b].dataType.simpleString()}" for b in by] + [f"{p} long" for p in PARTS]
+        sums = counts.sparkSession.createDataFrame(rows, ", ".join(kinds))
+        point = counts.select(*by, F.round(C.macro_f1(), 6).alias("point_macro_f1"))
+        scores = interval(sums.select(*by, C.macro_f1().alias("s")), *by)
+        return point.join(scores, list(by)) if by else point.join(F.broadcast(scores))
     drawn = hash_draws(counts, reps, seed, *by).join(counts, list(by))
     a, b, c = F.col("tn"), F.col("tn") + F.col("fp"), F.col("tn") + F.col("fp") + F.col("fn")
     at = F.col("idx")

@@ -14,6 +14,8 @@ from cohortlab.sources import files, fixtures
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 REPS, FRAME_REPS, SEED = 200, 20, 42
+#: Resamples of the queries `.._whole`, which have no SQL; those above are what the SQL repeats.
+WHOLE, WHOLE_QUERIES = 5000, {}
 
 
 def query(f: Query) -> Query:
@@ -21,6 +23,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def whole_query(f: Query) -> Query:
+    WHOLE_QUERIES[f.__name__] = f
+    return f
+
+
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.manifest(spark, d)
 
@@ -311,6 +318,26 @@ def frame_bootstrap(spark, d):
     return resample.frame_bootstrap(_tests(spark, d).where("regime = 'ST'"), "regime", reps=FRAME_REPS, seed=SEED)
 
 
+@whole_query
+def bootstrap_whole(spark, d):
+    return resample.cluster_bootstrap(_tests(spark, d), "regime", reps=WHOLE, seed=SEED)
+
+
+@whole_query
+def errorbars_whole(spark, d):
+    return reports.error_bars(bootstrap_whole(spark, d))
+
+
+@whole_query
+def paired_bootstrap_whole(spark, d):
+    return resample.paired_bootstrap(*_pair(spark, d), reps=WHOLE, seed=SEED)
+
+
+@whole_query
+def frame_bootstrap_whole(spark, d):
+    return resample.frame_bootstrap(_tests(spark, d), "regime", reps=WHOLE, seed=SEED, draws="multinomial")
+
+
 # training log
 
 
@@ -442,3 +469,8 @@ def queries() -> dict[str, Query]:
 
 
 __all__ = ["queries", "ranking"]
+
+
+def whole_queries() -> dict[str, Query]:
+    """The queries that have no SQL, as it would be too slow."""
+    return dict(WHOLE_QUERIES)
