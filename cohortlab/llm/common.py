@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,10 +24,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where none is configured."""
+    """The shared folder of the session; on a single machine that names none, a local one.
+
+    On a cluster without spark.checkpoint.dir it raises: a local folder there is not shared.
+    """
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cohortlab-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -52,13 +58,13 @@ def _release_at_exit() -> None:
         release()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: short lineage, known size."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/cohortlab-{spark.sparkContext.applicationId}-{_RUN}"
     _folders.add(folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

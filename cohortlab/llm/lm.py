@@ -1,320 +1,426 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Tokens are runs of non-space characters, ASCII letters lower-cased, plus one end a text.
-All words are counted, in a distributed table. N-grams whose share of the training tokens
-is `share` or more become the automaton: a state for each context, an arc for each n-gram,
-and a failure arc to the context without its first word. A support of `share` bounds every
-order by 1 / share entries, at any corpus size, so the automaton can be sent to all
-executors; the words below it are looked up by a join. A text is read once from left to
-right; the state and the sum of weights are all that is carried.
-
-Probabilities: absolute discounting; kept n-grams (h, w) have (c(h, w) - D) / c(h), the
-rest of a context's mass goes to its backoff in proportion to the lower order, so that
-every state's probabilities sum to 1 over the training vocabulary and one unknown word.
+Tokens are runs of non-space bytes, ASCII letters lower-cased, plus one end a text. Every
+n-gram of the training texts up to three tokens is an arc, whatever its count: a state
+stands for a context of one or two tokens, an arc for an n-gram, a failure arc for the
+context without its first token. A text is read once from left to right; the state and the
+sum of weights are all that is carried.
+
+Probabilities: with m of the context's order,
+
+    p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m)
+
+so that a state's failure arc weighs m / (c(h) + m) and every state's probabilities sum
+to 1 over the training vocabulary and one unknown word. At the root a word has
+(c - D) / N and the unknown word D V / N. m is chosen from all counts: the chance of a
+successor that is new to its context, each place left out in turn, equals the share of
+n-grams that stand once.
+
+No automaton of the whole corpus is held anywhere. Texts are cut into blocks; each block
+sends its distinct n-grams, with their counts in its training texts, to parts by hash; a
+part adds the counts up and answers each block in the block's own order. A block then has
+every arc that its texts can take, with the corpus' counts. A part holds an n-gram once
+a block, so that frequent ones weigh no more than rare ones, and the parts' number follows
+the corpus.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import compress, repeat
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from cohortlab.llm.arrow import ship
+from cohortlab.llm.common import materialize, text_or_empty
+
+#: Tokens of a block (a longer text is a block of its own), n-grams of a part (once a block),
+#: and tokens for which a block's arcs are held as a dictionary.
+BLOCK_TOKENS, PART_GRAMS, SLICE_TOKENS = 1 << 21, 1 << 20, 1 << 17
+#: Bytes that are hashed at once; cut at spaces only.
+PIECE = 1 << 20
+#: Kinds of n-grams: pairs that end a text are no contexts.
+LAST_PAIR, WORD, PAIR, TRIPLE = range(4)
+
+_rng = np.random.default_rng(11)
+_odd = lambda n: _rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _odd(256)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BYTE[[0x20, *range(0x09, 0x0E)]] = 0
+_STEP = (int(_odd(1)[0]) & ~3) | 3
+_MIX1, _MIX2, _PAIR, _TRIPLE, END, BEGIN = _odd(6)
+_LOW = np.int64(0xFFFFFFFF)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX1
+    x = (x ^ (x >> np.uint64(29))) * _MIX2
+    return x ^ (x >> np.uint64(32))
+
+
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse modulo 2^64."""
+    out = []
+    for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+        steps = np.full(1 << bits, np.uint64(base))
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
+
+
+def _hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and hashes of the words in the bytes."""
+    v = _BYTE[data]
+    edges = np.flatnonzero(np.diff((v != 0).view(np.int8), prepend=0, append=0))
+    up, down = _powers(max(PIECE, data.size + 1).bit_length())
+    total = np.zeros(data.size + 1, np.uint64)
+    np.cumsum(v * up[: data.size], out=total[1:])
+    first = edges[::2]
+    return first, _mix((total[edges[1::2]] - total[first]) * down[first])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the text's words, a piece of the text at a time."""
+    data, out, at = np.frombuffer(text, np.uint8), [], 0
+    while at < data.size:
+        end = min(at + PIECE, data.size)
+        while end < data.size and _BYTE[data[end]]:
+            gap = np.flatnonzero(_BYTE[data[end : end + PIECE]] == 0)
+            end = end + int(gap[0]) if gap.size else min(end + PIECE, data.size)
+        out.append(_hash(data[at:end])[1])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, an END behind each text, and the number of tokens of each text."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    words, sizes, at = [], [], 0
+    while at < len(raw):
+        if len(raw[at]) > PIECE:
+            words.append(word_hashes(raw[at]))
+            sizes.append(words[-1].size)
+            at += 1
+            continue
+        some, held = [], 0
+        while at < len(raw) and held + len(raw[at]) <= PIECE:
+            some.append(raw[at])
+            held += len(raw[at]) + 1
+            at += 1
+        first, h = _hash(np.frombuffer(b" ".join(some), np.uint8))
+        limits = np.cumsum([len(t) + 1 for t in some])
+        sizes += np.diff(np.searchsorted(first, limits), prepend=0).tolist()
+        words.append(h)
+    sizes = np.array(sizes, np.int64) + 1
+    out = np.full(int(sizes.sum()), END, np.uint64)
+    inner = np.ones(out.size, bool)
+    inner[np.cumsum(sizes) - 1] = False
+    out[inner] = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    return out, sizes
+
+
+class Grams:
+    """The distinct words, pairs and triples of a block, and which of them stands where.
+
+    `words` are hashes; a text begins with the word numbered `words.size`.
+    """
 
-from cohortlab.llm.arrow import map_batches, ship
-from cohortlab.llm.common import materialize
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
+        self.words, self.tokens, self.sizes = words, tokens.astype(np.int64), sizes
+        self.end = int(np.searchsorted(words, END))
+        h, first = np.append(words, BEGIN), np.cumsum(sizes) - sizes
+        before = np.roll(self.tokens, 1)
+        before[first] = words.size
+        self.pairs, self.pair_at = np.unique(before << 32 | self.tokens, return_inverse=True)
+        context = np.roll(self.pair_at, 1)
+        context[first] = -1
+        inner = context >= 0
+        self.triples, at = np.unique(context[inner] << 32 | self.tokens[inner], return_inverse=True)
+        self.triple_at = np.full(self.tokens.size, -1, np.int64)
+        self.triple_at[inner] = at
+        self.last = np.zeros(self.triples.size, np.int64)  # the pair that ends each triple
+        self.last[at] = self.pair_at[inner]
+        pair = _mix(h[self.pairs >> 32] * _PAIR + h[self.pairs & _LOW])
+        self.keys = np.concatenate([words, pair, _mix(pair[self.triples >> 32] * _TRIPLE + h[self.triples & _LOW])])
+        self.kinds = np.repeat(np.array([WORD, PAIR, TRIPLE], np.uint64), [words.size, pair.size, self.triples.size])
+        self.kinds[words.size : words.size + pair.size][(self.pairs & _LOW) == self.end] = LAST_PAIR
 
-END = b""
-#: Entries a task holds before it passes its partial counts on.
-HELD_WORDS, HELD_GRAMS = 300_000, 2_000_000
+    def counts(self, texts: np.ndarray) -> np.ndarray:
+        """How often each key stands in the marked texts."""
+        on = np.repeat(texts, self.sizes).astype(bool)
+        at = self.triple_at[on]
+        return np.concatenate([np.bincount(self.tokens[on], minlength=self.words.size), np.bincount(self.pair_at[on], minlength=self.pairs.size), np.bincount(at[at >= 0], minlength=self.triples.size)])
 
+    def dealt(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the keys by part, and each part's number of keys."""
+        part = (self.keys & np.uint64((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.uint32)
+        return np.argsort(part, kind="stable"), np.bincount(part, minlength=1)
 
-def words_of(text: str | None) -> list[bytes]:
-    """The text's tokens without the end: bytes split at space and tab .. carriage return."""
-    return (text or "").encode().lower().split()
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Rows of the bytes of each rank, so that small numbers compress to little."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(x.size, x.itemsize).T)
 
-def texts_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[str | None]:
-    """The batch's texts, a few rows as Python strings at a time."""
-    for at in range(0, batch.num_rows, rows):
-        yield from batch.column(0).slice(at, rows).to_pylist()
 
+def _numbers(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over a one-column table of texts; the end is the empty word."""
-    ship(texts.sparkSession)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in batches:
-            for text in texts_of(batch):
-                held.update(words_of(text))
-                held[END] += 1
-                if len(held) > HELD_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
-                    held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def _pack(x: np.ndarray) -> bytes:
+    return x.size.to_bytes(8, "little") + _ZSTD.compress(_planes(x), asbytes=True) if x.size else b""
 
-@dataclass
-class Automaton:
-    """States are numbered by order: 0 is the root, then contexts of one word, of two, ..."""
-
-    words: dict[bytes, int]
-    uni: np.ndarray  # log10 weight of each word at the root
-    base: np.ndarray  # log10 of the add-half estimate of each word
-    uni_to: np.ndarray  # state after a word read at the root
-    keys: np.ndarray  # (state << 32 | word) of the other arcs, sorted
-    weight: np.ndarray
-    to: np.ndarray
-    backoff: np.ndarray  # of each state
-    fail: np.ndarray
-    begin: int  # state at the start of a text
-
-    def ids(self, words: list[bytes]) -> list[int]:
-        """Ids of a text's words (-1: outside the automaton) and of its end."""
-        out = list(map(self.words.get, words, repeat(-1)))
-        out.append(self.words[END])
-        return out
 
-    def tables(self) -> tuple:
-        """Arcs as one dictionary (its lookup) a state. A state without arcs has backoff 0 and is passed
-        over; place -1 of the root's lists stands for a word outside the automaton."""
-        if not hasattr(self, "_tables"):
-            arcs: list = [None] * self.backoff.size
-            live = np.zeros(self.backoff.size, bool)
-            live[self.keys >> 32] = True
-            goes = np.arange(self.backoff.size)
-            while (idle := (goes > 0) & ~live[goes]).any():
-                goes[idle] = self.fail[goes[idle]]
-            for key, weight, to in zip(self.keys.tolist(), self.weight.tolist(), goes[self.to].tolist(), strict=True):
-                state = key >> 32
-                if arcs[state] is None:
-                    arcs[state] = {}
-                arcs[state][key & 0xFFFFFFFF] = weight, to
-            self._tables = [a and a.get for a in arcs], [*self.uni.tolist(), 0.0], [*goes[self.uni_to].tolist(), 0], self.backoff.tolist(), goes[self.fail].tolist(), int(goes[self.begin])
-        return self._tables
-
-    def read(self, ids: Iterable[int]) -> float:
-        """Sum of weights along the text; -1 is a word outside the automaton, whose own
-        weight is left out here."""
-        arcs, uni, uni_to, backoff, fail, s = self.tables()
-        total = 0.0
-        for w in ids:
-            while s:
-                a = arcs[s](w)
-                if a is not None:
-                    total += a[0]
-                    s = a[1]
-                    break
-                total += backoff[s]
-                s = fail[s]
-            else:
-                total += uni[w]
-                s = uni_to[w]
-        return total
+def _unpack(raw: bytes, dtype) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, dtype)
+    return _numbers(_ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little") * np.dtype(dtype).itemsize, asbytes=True), dtype)
+
+
+def _blocks(docs: DataFrame, train: Column, keep: list[str], text_col: str) -> DataFrame:
+    """One row a block of texts: block, n (tokens), learned (tokens of training texts), and the
+    block's words, tokens (places in words), sizes, training marks and kept columns."""
+    rows = docs.select(F.coalesce(train, F.lit(False)).alias("__train"), text_or_empty(text_col).alias("__text"), *keep)
+    kept = StructType(rows.schema.fields[2:])
+    ship(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n, number = 0, TaskContext.get().partitionId() << 32
 
-    def walk(self, ids: np.ndarray, cut: int) -> np.ndarray:
-        """For each position, the state of exactly cut words just before it, or -1."""
-        if cut == 1:
-            state = np.concatenate([[self.begin], np.where(ids[:-1] >= 0, self.uni_to[ids[:-1]], 0)])
-            return np.where(state > 0, state, -1)
-        before = self.walk(ids, cut - 1)
-        if ids.size < 2:
-            return np.full(ids.size, -1, np.int64)
-        at, ok = self.find(before[:-1], ids[:-1])
-        state = np.where(ok, self.to[at] if self.to.size else 0, 0)
-        return np.concatenate([[-1], np.where(ok & (self.depth(state) == cut), state, -1)])
+        def close() -> pa.RecordBatch:
+            hashes, sizes, marks = (np.concatenate([h[i] for h in held]) for i in range(3))
+            words, tokens = np.unique(hashes, return_inverse=True)
+            own = pa.concat_arrays([h[3] for h in held])
+            learned = int(sizes[marks].sum())
+            cols = {"block": [number], "n": [hashes.size], "learned": [learned], "words": [words.tobytes()], "tokens": [_pack(tokens.astype(np.uint32))], "sizes": [_pack(sizes)], "marks": [marks.tobytes()]}
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols.values()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], [*cols, "kept"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                hashes, sizes = token_hashes(part.column(1).to_pylist())
+                marks = part.column(0).to_numpy(zero_copy_only=False)
+                held.append((hashes, sizes, marks, pa.StructArray.from_arrays(part.columns[2:], part.schema.names[2:])))
+                n += hashes.size
+                if n >= BLOCK_TOKENS:
+                    yield close()
+                    held, n, number = [], 0, number + 1
+        if held:
+            yield close()
+
+    inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kept.fields)
+    return rows.mapInArrow(run, f"block long, n long, learned long, words binary, tokens binary, sizes binary, marks binary, kept array<struct<{inner}>>")
 
-    def find(self, states: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = np.where((states > 0) & (ids >= 0), states.astype(np.int64) << 32 | np.maximum(ids, 0).astype(np.int64), -1)
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, self.keys.size - 1))
-        return at, (self.keys[at] == key if self.keys.size else np.zeros(key.size, bool)) & (key >= 0)
 
-    def depth(self, states: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, states, "right")
+def _read(row: dict) -> tuple[Grams, np.ndarray]:
+    marks = np.frombuffer(row["marks"], bool)
+    return Grams(np.frombuffer(row["words"], np.uint64), _unpack(row["tokens"], np.uint32), _unpack(row["sizes"], np.int64)), marks
 
-    starts: np.ndarray = None  # first state number of each order
 
+def _asked(blocks: DataFrame, bits: int) -> DataFrame:
+    """(p, block, keys, counts): a block's n-grams of one part, 48 bits each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cells = {c: batch.column(c)[row].as_py() for c in ("block", "words", "tokens", "sizes", "marks")}
+                grams, marks = _read(cells)
+                order, sizes = grams.dealt(bits)
+                keys = ((grams.keys >> np.uint64(bits)) << np.uint64(2) | grams.kinds)[order]
+                counts = grams.counts(marks)[order].astype(np.uint32)
+                del grams
+                keys, ends = keys.view(np.uint8).reshape(-1, 8)[:, :6], np.append(0, np.cumsum(sizes))
+                parts = np.flatnonzero(sizes)
+                for some in np.array_split(parts, max(1, parts.size // 256)):
+                    data = {"p": some.astype(np.int32), "block": np.full(some.size, cells["block"], np.int64)}
+                    raw = {"keys": [keys[ends[p] : ends[p + 1]].tobytes() for p in some], "counts": [_planes(counts[ends[p] : ends[p + 1]]).tobytes() for p in some]}
+                    yield pa.RecordBatch.from_pydict(data | raw)
+
+    return blocks.select("block", "words", "tokens", "sizes", "marks").mapInArrow(run, "p int, block long, keys binary, counts binary")
+
+
+def rounded(c: np.ndarray) -> np.ndarray:
+    """Counts with ten significant bits, so that the table of counts of counts stays small."""
+    low = np.maximum(np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) - 9, 0)
+    return c >> low << low
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(block, p, totals, kinds, c, times): the corpus' counts of a block's n-grams of a part, in the
+    block's order; one row a part has the part's counts of counts."""
+
+    def run(part: pa.Table) -> pa.Table:
+        raw, keys = part.column("keys").to_pylist(), []
+        for x in raw:
+            wide = np.zeros((len(x) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+            keys.append(wide.view(np.uint64).ravel())
+        counts = [_numbers(x, np.uint32) for x in part.column("counts").to_pylist()]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(at, np.concatenate(counts), distinct.size).astype(np.int64)
+        known = totals > 0
+        pairs, times = np.unique(rounded(totals[known]) << 2 | (distinct[known] & np.uint64(3)).astype(np.int64), return_counts=True)
+        ends = np.append(0, np.cumsum([k.size for k in keys]))
+        rest = [None] * (len(raw) - 1)
+        return pa.table({
+            "block": part.column("block"), "p": part.column("p"),
+            "totals": pa.array([_pack(totals[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
+            "kinds": pa.array([pairs & 3, *rest], pa.list_(pa.int64())), "c": pa.array([pairs >> 2, *rest], pa.list_(pa.int64())), "times": pa.array([times, *rest], pa.list_(pa.int64())),
+        })
+
+    return asked.groupBy("p").applyInArrow(run, "block long, p int, totals binary, kinds array<long>, c array<long>, times array<long>")
+
+
+@dataclass(frozen=True)
+class Model:
+    """What all texts share: training tokens and types, the root's discount, m of pairs and triples."""
 
-@dataclass
-class LanguageModel:
-    counts: DataFrame  # (word, c): every training word
     tokens: int
     types: int
     discount: float
-    automaton: Automaton
+    pair: float
+    triple: float
 
-    def log_word(self, c):
-        """Column: log10 weight at the root of a word with count c (0: the unknown word)."""
-        n, d = float(max(self.tokens, 1)), self.discount
-        unknown = float(np.log10(d * self.types / n)) if self.tokens else 0.0
-        return F.when(c > 0, F.log10((c - d) / n)).otherwise(unknown)
+    def log_root(self, c: np.ndarray) -> np.ndarray:
+        n, d = max(self.tokens, 1), self.discount
+        return np.log10(np.where(c > 0, (c - d) / n, d * self.types / n if self.tokens else 1.0))
 
-    def log_base(self, c):
-        return F.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+    def log_base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
-def _gram_counts(texts: DataFrame, held, cut: int, least: int) -> DataFrame:
-    """(key, c) of n-grams (state of `cut` words, word) that occur `least` times or more."""
-    ship(texts.sparkSession)
+def strength(contexts: dict[int, int], once: int, places: int) -> float:
+    """The m at which the chance of a new successor, each place left out in turn, is once / places.
 
-    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(parts))
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.diff(np.append(first, keys.size)))], ["key", "c"])
+    contexts: how many contexts stand c times, by c.
+    """
+    if not places:
+        return 1.0
+    c, n = np.array(list(contexts), float), np.array(list(contexts.values()), float)
+    low, high = -3.0, 6.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        new = (c * n * 10**mid / (c - 1 + 10**mid)).sum() / (c * n).sum()
+        low, high = (mid, high) if new < once / places else (low, mid)
+    return 10 ** ((low + high) / 2)
+
+
+def _model(tokens: int, answers: DataFrame) -> Model:
+    of = answers.where(F.col("c").isNotNull()).select(F.explode(F.arrays_zip("kinds", "c", "times")).alias("x"))
+    rows = of.groupBy("x.kinds", "x.c").agg(F.sum("x.times").alias("n")).collect()  # some 20,000 rows a kind at most
+    has = {k: {r.c: r.n for r in rows if r.kinds == k} for k in range(4)}
+    words, pairs = has[WORD], {c: has[PAIR].get(c, 0) + has[LAST_PAIR].get(c, 0) for c in {**has[PAIR], **has[LAST_PAIR]}}
+    n1, n2 = words.get(1, 0), words.get(2, 0)
+    places = lambda x: sum(c * n for c, n in x.items())
+    # as often as a text ends, it begins: the words' counts are those of the contexts
+    pair = strength(words, pairs.get(1, 0), places(pairs))
+    triple = strength(has[PAIR], has[TRIPLE].get(1, 0), places(has[TRIPLE]))
+    return Model(tokens, sum(words.values()), n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, pair, triple)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, parts, n = held.value, [], 0
-        for batch in batches:
-            for text in texts_of(batch):
-                ids = np.array(a.ids(words_of(text)), np.int64)
-                states = a.walk(ids, cut)
-                ok = (states > 0) & (ids >= 0)
-                parts.append(states[ok] << 32 | ids[ok])
-                n += parts[-1].size
-                if n > HELD_GRAMS:
-                    yield counted(parts)
-                    parts, n = [], 0
-        if parts:
-            yield counted(parts)
-
-    return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-
-
-def fit(texts: DataFrame, *, order: int = 3, share: float = 1e-6) -> LanguageModel:
-    """Learn from all rows of a one-column table of texts (null: empty)."""
-    spark = texts.sparkSession
-    counts = materialize(count_words(texts))
-    n, v, n1, n2, ends = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
-    n, v, ends = n or 0, v or 0, ends or 0
-    d1 = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    least = max(2, int(np.ceil(n * share)))
-    head = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).toArrow().sort_by("word")
-    words, c = [bytes(w) for w in head.column("word").to_pylist()], head.column("c").to_numpy().astype(np.float64)
-    if not words:
-        words, c = [END], np.array([0.0])
-    size = len(words)
-    ids = {w: i for i, w in enumerate(words)}
-    p1 = np.where(c > 0, (c - d1) / max(n, 1), 1.0)
-    uni = np.log10(p1)
-    # one-word contexts: every word but the end, and the begin of a text
-    uni_to = np.arange(1, size + 1)
-    uni_to[ids[END]] = 0
-    begin = size + 1
-    mass = np.concatenate([[n], np.where(np.arange(size) == ids[END], 0, c), [ends]])  # c(h) by state
-    empty = np.zeros(0, np.int64)
-    a = Automaton(ids, uni, np.log10((c + 0.5) / (n + 0.5 * (v + 1))), uni_to, empty, np.zeros(0), empty, np.zeros(size + 2), np.zeros(size + 2, np.int64), begin)
-    a.starts = np.array([1, size + 2])
-    for cut in range(1, order):
-        held = spark.sparkContext.broadcast(a)
-        grams = _gram_counts(texts, held, cut, least).toArrow().sort_by("key")
-        key, cnt = grams.column("key").to_numpy(), grams.column("c").to_numpy().astype(np.float64)
-        held.unpersist()
-        if not key.size:
-            break
-        state, word = key >> 32, key & 0xFFFFFFFF
-        d = 0.5
-        p = (cnt - d) / mass[state]
-        lower = 10.0 ** _lookup(a, a.fail[state], word)
-        kept, under = np.bincount(state, p, mass.size), np.bincount(state, lower, mass.size)
-        has = np.bincount(state, minlength=mass.size) > 0
-        a.backoff[has] = np.log10(np.maximum(1 - kept[has], 1e-12) / np.maximum(1 - under[has], 1e-12))
-        # arcs lead to the new longer context, unless nothing can follow it or the order is reached
-        goes = (word != ids[END]) & (cut < order - 1)
-        new = np.cumsum(goes) - 1 + mass.size
-        shorter = _step(a, a.fail[state], word)
-        to = np.where(goes, new, shorter)
-        a.fail = np.concatenate([a.fail, shorter[goes]])
-        a.backoff = np.concatenate([a.backoff, np.zeros(int(goes.sum()))])
-        mass = np.concatenate([mass, cnt[goes]])
-        a.starts = np.append(a.starts, mass.size)
-        keys, weight, tos = np.concatenate([a.keys, key]), np.concatenate([a.weight, np.log10(p)]), np.concatenate([a.to, to])
-        by = np.argsort(keys, kind="stable")
-        a.keys, a.weight, a.to = keys[by], weight[by], tos[by]
-    return LanguageModel(counts, n, v, d1, a)
-
-
-def _lookup(a: Automaton, states: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """log10 weight of each word at each state, by failure arcs where there is no arc."""
-    out, s, open_ = np.zeros(states.size), states.copy(), np.ones(states.size, bool)
-    while open_.any():
-        root = open_ & (s == 0)
-        out[root] += a.uni[words[root]]
-        open_ &= ~root
-        at, ok = a.find(np.where(open_, s, -1), words)
-        hit = open_ & ok
-        out[hit] += a.weight[at[hit]]
-        open_ &= ~hit
-        out[open_] += a.backoff[s[open_]]
-        s[open_] = a.fail[s[open_]]
-    return out
-
-
-def _step(a: Automaton, states: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The state after each word read at each state."""
-    out, s, open_ = np.zeros(states.size, np.int64), states.copy(), np.ones(states.size, bool)
-    while open_.any():
-        root = open_ & (s == 0)
-        out[root] = a.uni_to[words[root]]
-        open_ &= ~root
-        at, ok = a.find(np.where(open_, s, -1), words)
-        hit = open_ & ok
-        out[hit] = a.to[at[hit]]
-        open_ &= ~hit
-        s[open_] = a.fail[s[open_]]
-    return out
-
-
-def score(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`keep` columns plus n_tokens, n_known, base_score, score for every whole text.
-
-    A null text is empty: its only token is the end. Rows are scored on their own, so
-    repeated rows get equal scores. With no training text every word is unknown, with
-    weight 0.
+
+class Automaton:
+    """States of a block: 0 is the root, 1 + w the context of word w, those above two words."""
+
+    def __init__(self, grams: Grams, totals: np.ndarray, model: Model):
+        w, b = grams.words.size, grams.pairs.size
+        self.grams, self.words = grams, w
+        one, self.two, self.three = totals[:w], totals[w : w + b], totals[w + b :]
+        context = np.append(one, one[grams.end])  # a text begins as often as it ends
+        root = model.log_root(one)
+        word = grams.pairs & _LOW
+        p2 = (self.two + model.pair * 10 ** root[word]) / (context[grams.pairs >> 32] + model.pair)
+        p3 = (self.three + model.triple * p2[grams.last]) / (self.two[grams.triples >> 32] + model.triple)
+        self.log2, self.log3 = np.log10(p2), np.log10(p3)
+        back = [np.zeros(1), np.log10(model.pair / (context + model.pair)), np.log10(model.triple / (self.two + model.triple))]
+        self.back, self.fail = np.concatenate(back).tolist(), np.concatenate([np.zeros(w + 2, np.int64), 1 + word]).tolist()
+        self.root, self.root_to = root.tolist(), np.where(one > 0, 1 + np.arange(w), 0).tolist()
+        self.begin = 1 + w if context[w] else 0
+
+    def arcs(self, lo: int, hi: int) -> dict[int, tuple[float, int]]:
+        """The arcs that the tokens lo .. hi can take: (state, word) -> weight, next state."""
+        g, up, out = self.grams, 2 + self.words, {}
+        at = np.unique(g.pair_at[lo:hi])
+        at = at[self.two[at] > 0]
+        out.update(zip((g.pairs[at] + (1 << 32)).tolist(), zip(self.log2[at].tolist(), (up + at).tolist(), strict=True), strict=True))
+        at = np.unique(g.triple_at[lo:hi])
+        at = at[at >= 0]
+        at = at[self.three[at] > 0]
+        out.update(zip((g.triples[at] + (up << 32)).tolist(), zip(self.log3[at].tolist(), (up + g.last[at]).tolist(), strict=True), strict=True))
+        return out
+
+    def read(self, ids: Iterable[int], arcs: dict[int, tuple[float, int]]) -> float:
+        """Sum of weights along a text."""
+        get, back, fail, s, total = arcs.get, self.back, self.fail, self.begin, 0.0
+        for w in ids:
+            while s:
+                arc = get(s << 32 | w)
+                if arc:
+                    total += arc[0]
+                    s = arc[1]
+                    break
+                total += back[s]
+                s = fail[s]
+            else:
+                total += self.root[w]
+                s = self.root_to[w]
+        return total
+
+    def scores(self) -> list[float]:
+        ends = np.cumsum(self.grams.sizes)
+        out, at = [], 0
+        while at < ends.size:
+            lo = int(ends[at] - self.grams.sizes[at])
+            upto = max(at + 1, int(np.searchsorted(ends, lo + SLICE_TOKENS, "right")))
+            arcs = self.arcs(lo, int(ends[upto - 1]))
+            for end, size in zip(ends[at:upto].tolist(), self.grams.sizes[at:upto].tolist(), strict=True):
+                out.append(self.read(self.grams.tokens[end - size : end].tolist(), arcs))
+            at = upto
+        return out
+
+
+def score(docs: DataFrame, train: Column, keep: list[str], text_col: str = "text") -> tuple[DataFrame, Model]:
+    """Learn from the rows where `train` holds and score all rows: `keep` columns plus
+    n_tokens, n_known, base_score, score; and the model's global numbers.
+
+    A null text is empty: its only token is the end. A null `train` is false. Rows are scored
+    on their own, so repeated rows get equal scores. With no training text every word is
+    unknown, with weight 0; an empty table gives an empty result. Words and n-grams are told
+    apart by 64-bit and 46-bit hashes (the latter inside a part). A block holds some 200 bytes
+    a token, so the longest single text bounds a task's memory.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model.automaton)
-
-    def run(cols: dict[str, list]) -> dict[str, object]:
-        a, n_tokens, n_known, base, total, rare, times = held.value, [], [], [], [], [], []
-        seen = bool(model_tokens)
-        for text in cols.pop("__text"):
-            tokens = words_of(text)
-            ids = a.ids(tokens)
-            arr = np.array(ids, np.int64)
-            out = Counter(compress(tokens, (arr < 0).tolist()))
-            arr = arr[arr >= 0]
-            n_tokens.append(len(ids))
-            n_known.append(arr.size if seen else 0)
-            base.append(float(a.base[arr].sum()))
-            total.append(a.read(ids))
-            rare.append(list(out.keys()))
-            times.append(list(out.values()))
-        return cols | {"n_tokens": n_tokens, "known": n_known, "base": base, "total": total, "rare": rare, "times": times}
-
-    model_tokens = model.tokens
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    read = materialize(map_batches(rows, run, f"{schema}, n_tokens long, known long, base double, total double, rare array<binary>, times array<int>", slice_rows=1000))
-    pairs = read.select("__row", F.inline(F.arrays_zip("rare", "times"))).withColumnsRenamed({"rare": "word", "times": "n"})
-    c = F.coalesce(F.col("c"), F.lit(0))
-    tail = (
-        pairs.join(model.counts, "word", "left")
-        .select("__row", (F.col("n") * (c > 0).cast("long")).alias("k"), (F.col("n") * model.log_base(c)).alias("b"), (F.col("n") * model.log_word(c)).alias("t"))
-        .groupBy("__row")
-        .agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("t").alias("t"))
-    )
-    zero = F.lit(0.0)
-    return read.drop("rare", "times").join(tail, "__row", "left").select(
-        *keep,
-        "n_tokens",
-        (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("total") + F.coalesce("t", zero)).alias("score"),
-    )
+    blocks = materialize(_blocks(docs, train, keep, text_col), compression="zstd")
+    tokens, learned = blocks.agg(F.sum("n"), F.sum("learned")).first()
+    bits = max(0, int(np.ceil(np.log2(max(1, 2 * (tokens or 0) / PART_GRAMS)))))
+    answers = materialize(_answered(_asked(blocks, bits)), compression="zstd")
+    model = _model(learned or 0, answers)
+    schema = f"{', '.join(f'`{c}` {docs.schema[c].dataType.simpleString()}' for c in keep)}, n_tokens long, n_known long, base_score double, score double"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(answer: pa.Table, block: pa.Table) -> pa.Table:
+        row = block.drop(["kept", "n", "learned"]).to_pylist()[0]
+        grams, _ = _read(row)
+        order, _ = grams.dealt(bits)
+        totals = np.empty(order.size, np.int64)
+        by_part = answer.sort_by("p").column("totals").to_pylist()
+        totals[order] = np.concatenate([_unpack(x, np.int64) for x in by_part])
+        sizes, c = grams.sizes, totals[: grams.words.size]
+        first = np.cumsum(sizes) - sizes
+        add = lambda x: np.add.reduceat(x[grams.tokens], first)
+        kept = block.column("kept").combine_chunks().flatten().flatten()
+        mine = [sizes, add((c > 0).astype(np.int64)), add(model.log_base(c)), Automaton(grams, totals, model).scores()]
+        return pa.Table.from_arrays([*kept, *map(pa.array, mine)], schema=out)
+
+    asked = answers.select("block", "p", "totals").groupBy("block")
+    return asked.cogroup(blocks.groupBy("block")).applyInArrow(run, schema), model

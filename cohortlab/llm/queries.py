@@ -42,9 +42,9 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc("doc_id") % 5 == 1
-    model = lm.fit(docs.where(~held_out).select("text"))
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return lm.score(rows, model, ["doc_id", "held_out"]).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    scored, model = lm.score(rows, ~F.col("held_out"), ["doc_id", "held_out"])
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
