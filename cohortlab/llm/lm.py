@@ -3,8 +3,10 @@
 Tokens are runs of non-space bytes, ASCII letters lower-cased, plus one end a text. Every
 n-gram of the training texts up to three tokens is an arc, whatever its count: a state
 stands for a context of one or two tokens, an arc for an n-gram, a failure arc for the
-context without its first token. A text is read once from left to right; the state and the
-sum of weights are all that is carried.
+context without its first token. A text is read once from left to right, from state to
+state, and the weights of the arcs taken are summed. The state behind a token is the
+longest context that ends there, whichever arcs led to it, so that all texts of a block
+are read together, place by place of one array.
 
 Probabilities: with m of the context's order,
 
@@ -41,9 +43,9 @@ from pyspark.sql.types import StructType
 from cohortlab.llm.arrow import ship
 from cohortlab.llm.common import materialize, text_or_empty
 
-#: Tokens of a block (a longer text is a block of its own), n-grams of a part (once a block),
-#: and tokens for which a block's arcs are held as a dictionary.
-BLOCK_TOKENS, PART_GRAMS, SLICE_TOKENS = 1 << 21, 1 << 20, 1 << 17
+#: Tokens of a block (a longer text is a block of its own), n-grams of a part (counted once a
+#: block), bits of an n-gram's hash inside its part, and most bits of a part's number.
+BLOCK_TOKENS, PART_GRAMS, HASH_BITS, PART_BITS = 1 << 19, 1 << 20, 38, 24
 #: Bytes that are hashed at once; cut at spaces only.
 PIECE = 1 << 20
 #: Kinds of n-grams: pairs that end a text are no contexts.
@@ -159,10 +161,14 @@ class Grams:
         at = self.triple_at[on]
         return np.concatenate([np.bincount(self.tokens[on], minlength=self.words.size), np.bincount(self.pair_at[on], minlength=self.pairs.size), np.bincount(at[at >= 0], minlength=self.triples.size)])
 
-    def dealt(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the keys by part, and each part's number of keys."""
-        part = (self.keys & np.uint64((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.uint32)
-        return np.argsort(part, kind="stable"), np.bincount(part, minlength=1)
+    def dealt(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the keys by part, kind and hash, the keys in that order without their parts,
+        and the limits of the parts."""
+        low = np.uint64(HASH_BITS)
+        inside = self.kinds << low | (self.keys >> np.uint64(bits)) & np.uint64((1 << HASH_BITS) - 1)
+        part = self.keys & np.uint64((1 << bits) - 1)
+        order = np.argsort(part << np.uint64(HASH_BITS + 2) | inside)
+        return order, inside[order], np.append(0, np.cumsum(np.bincount(part.astype(np.int64), minlength=1 << bits)))
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
@@ -188,6 +194,14 @@ def _unpack(raw: bytes, dtype) -> np.ndarray:
     return _numbers(_ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little") * np.dtype(dtype).itemsize, asbytes=True), dtype)
 
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
+
+
 def _blocks(docs: DataFrame, train: Column, keep: list[str], text_col: str) -> DataFrame:
     """One row a block of texts: block, n (tokens), learned (tokens of training texts), and the
     block's words, tokens (places in words), sizes, training marks and kept columns."""
@@ -204,7 +218,7 @@ def _blocks(docs: DataFrame, train: Column, keep: list[str], text_col: str) -> D
             words, tokens = np.unique(hashes, return_inverse=True)
             own = pa.concat_arrays([h[3] for h in held])
             learned = int(sizes[marks].sum())
-            cols = {"block": [number], "n": [hashes.size], "learned": [learned], "words": [words.tobytes()], "tokens": [_pack(tokens.astype(np.uint32))], "sizes": [_pack(sizes)], "marks": [marks.tobytes()]}
+            cols = {"block": [number], "n": [hashes.size], "learned": [learned], "words": [_pack_sorted(words)], "tokens": [_pack(tokens.astype(np.uint32))], "sizes": [_pack(sizes)], "marks": [marks.tobytes()]}
             return pa.RecordBatch.from_arrays([*map(pa.array, cols.values()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], [*cols, "kept"])
 
         for batch in batches:
@@ -226,27 +240,24 @@ def _blocks(docs: DataFrame, train: Column, keep: list[str], text_col: str) -> D
 
 def _read(row: dict) -> tuple[Grams, np.ndarray]:
     marks = np.frombuffer(row["marks"], bool)
-    return Grams(np.frombuffer(row["words"], np.uint64), _unpack(row["tokens"], np.uint32), _unpack(row["sizes"], np.int64)), marks
+    return Grams(_unpack_sorted(row["words"]), _unpack(row["tokens"], np.uint32), _unpack(row["sizes"], np.int64)), marks
 
 
 def _asked(blocks: DataFrame, bits: int) -> DataFrame:
-    """(p, block, keys, counts): a block's n-grams of one part, 48 bits each."""
+    """(p, block, keys, counts): a block's n-grams of one part and their counts in its training texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 cells = {c: batch.column(c)[row].as_py() for c in ("block", "words", "tokens", "sizes", "marks")}
                 grams, marks = _read(cells)
-                order, sizes = grams.dealt(bits)
-                keys = ((grams.keys >> np.uint64(bits)) << np.uint64(2) | grams.kinds)[order]
+                order, keys, ends = grams.dealt(bits)
                 counts = grams.counts(marks)[order].astype(np.uint32)
-                del grams
-                keys, ends = keys.view(np.uint8).reshape(-1, 8)[:, :6], np.append(0, np.cumsum(sizes))
-                parts = np.flatnonzero(sizes)
-                for some in np.array_split(parts, max(1, parts.size // 256)):
-                    data = {"p": some.astype(np.int32), "block": np.full(some.size, cells["block"], np.int64)}
-                    raw = {"keys": [keys[ends[p] : ends[p + 1]].tobytes() for p in some], "counts": [_planes(counts[ends[p] : ends[p + 1]]).tobytes() for p in some]}
-                    yield pa.RecordBatch.from_pydict(data | raw)
+                del grams, order
+                parts = np.flatnonzero(np.diff(ends))
+                for some in np.array_split(parts, -(-parts.size // 256)):
+                    raw = {"keys": [_pack_sorted(keys[ends[p] : ends[p + 1]]) for p in some], "counts": [_pack(counts[ends[p] : ends[p + 1]]) for p in some]}
+                    yield pa.RecordBatch.from_pydict({"p": some.astype(np.int32), "block": np.full(some.size, cells["block"], np.int64)} | raw)
 
     return blocks.select("block", "words", "tokens", "sizes", "marks").mapInArrow(run, "p int, block long, keys binary, counts binary")
 
@@ -262,18 +273,14 @@ def _answered(asked: DataFrame) -> DataFrame:
     block's order; one row a part has the part's counts of counts."""
 
     def run(part: pa.Table) -> pa.Table:
-        raw, keys = part.column("keys").to_pylist(), []
-        for x in raw:
-            wide = np.zeros((len(x) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-            keys.append(wide.view(np.uint64).ravel())
-        counts = [_numbers(x, np.uint32) for x in part.column("counts").to_pylist()]
+        keys = [_unpack_sorted(x) for x in part.column("keys").to_pylist()]
+        counts = [_unpack(x, np.uint32) for x in part.column("counts").to_pylist()]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(at, np.concatenate(counts), distinct.size).astype(np.int64)
         known = totals > 0
-        pairs, times = np.unique(rounded(totals[known]) << 2 | (distinct[known] & np.uint64(3)).astype(np.int64), return_counts=True)
+        pairs, times = np.unique(rounded(totals[known]) << 2 | (distinct[known] >> np.uint64(HASH_BITS)).astype(np.int64), return_counts=True)
         ends = np.append(0, np.cumsum([k.size for k in keys]))
-        rest = [None] * (len(raw) - 1)
+        rest = [None] * (len(keys) - 1)
         return pa.table({
             "block": part.column("block"), "p": part.column("p"),
             "totals": pa.array([_pack(totals[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
@@ -331,63 +338,49 @@ def _model(tokens: int, answers: DataFrame) -> Model:
 
 
 class Automaton:
-    """States of a block: 0 is the root, 1 + w the context of word w, those above two words."""
+    """The states and arcs that a block's texts can reach, with the corpus' counts.
+
+    States are 0 (the root), 1 + w (the context of word w) and, above two more than the words,
+    the pairs. An arc is a word, pair or triple that the training texts hold.
+    """
 
     def __init__(self, grams: Grams, totals: np.ndarray, model: Model):
         w, b = grams.words.size, grams.pairs.size
-        self.grams, self.words = grams, w
-        one, self.two, self.three = totals[:w], totals[w : w + b], totals[w + b :]
-        context = np.append(one, one[grams.end])  # a text begins as often as it ends
-        root = model.log_root(one)
+        self.grams, self.above = grams, w + 2
+        self.one, self.two, self.three = totals[:w], totals[w : w + b], totals[w + b :]
+        context = np.append(self.one, self.one[grams.end])  # a text begins as often as it ends
+        self.log1 = model.log_root(self.one)
         word = grams.pairs & _LOW
-        p2 = (self.two + model.pair * 10 ** root[word]) / (context[grams.pairs >> 32] + model.pair)
+        p2 = (self.two + model.pair * 10 ** self.log1[word]) / (context[grams.pairs >> 32] + model.pair)
         p3 = (self.three + model.triple * p2[grams.last]) / (self.two[grams.triples >> 32] + model.triple)
         self.log2, self.log3 = np.log10(p2), np.log10(p3)
         back = [np.zeros(1), np.log10(model.pair / (context + model.pair)), np.log10(model.triple / (self.two + model.triple))]
-        self.back, self.fail = np.concatenate(back).tolist(), np.concatenate([np.zeros(w + 2, np.int64), 1 + word]).tolist()
-        self.root, self.root_to = root.tolist(), np.where(one > 0, 1 + np.arange(w), 0).tolist()
+        self.back, self.fail = np.concatenate(back), np.concatenate([np.zeros(w + 2, np.int64), 1 + word])
         self.begin = 1 + w if context[w] else 0
 
-    def arcs(self, lo: int, hi: int) -> dict[int, tuple[float, int]]:
-        """The arcs that the tokens lo .. hi can take: (state, word) -> weight, next state."""
-        g, up, out = self.grams, 2 + self.words, {}
-        at = np.unique(g.pair_at[lo:hi])
-        at = at[self.two[at] > 0]
-        out.update(zip((g.pairs[at] + (1 << 32)).tolist(), zip(self.log2[at].tolist(), (up + at).tolist(), strict=True), strict=True))
-        at = np.unique(g.triple_at[lo:hi])
-        at = at[at >= 0]
-        at = at[self.three[at] > 0]
-        out.update(zip((g.triples[at] + (up << 32)).tolist(), zip(self.log3[at].tolist(), (up + g.last[at]).tolist(), strict=True), strict=True))
-        return out
-
-    def read(self, ids: Iterable[int], arcs: dict[int, tuple[float, int]]) -> float:
-        """Sum of weights along a text."""
-        get, back, fail, s, total = arcs.get, self.back, self.fail, self.begin, 0.0
-        for w in ids:
-            while s:
-                arc = get(s << 32 | w)
-                if arc:
-                    total += arc[0]
-                    s = arc[1]
-                    break
-                total += back[s]
-                s = fail[s]
-            else:
-                total += self.root[w]
-                s = self.root_to[w]
-        return total
-
-    def scores(self) -> list[float]:
-        ends = np.cumsum(self.grams.sizes)
-        out, at = [], 0
-        while at < ends.size:
-            lo = int(ends[at] - self.grams.sizes[at])
-            upto = max(at + 1, int(np.searchsorted(ends, lo + SLICE_TOKENS, "right")))
-            arcs = self.arcs(lo, int(ends[upto - 1]))
-            for end, size in zip(ends[at:upto].tolist(), self.grams.sizes[at:upto].tolist(), strict=True):
-                out.append(self.read(self.grams.tokens[end - size : end].tolist(), arcs))
-            at = upto
-        return out
+    def states(self) -> np.ndarray:
+        """The state before each token: the longest context that ends there and is known."""
+        g = self.grams
+        after = np.where(self.two[g.pair_at] > 0, self.above + g.pair_at, np.where(self.one[g.tokens] > 0, 1 + g.tokens, 0))
+        state = np.roll(after, 1)
+        state[np.cumsum(g.sizes) - g.sizes] = self.begin
+        return state
+
+    def read(self) -> np.ndarray:
+        """Sum of weights along each text: where a state has no arc for the token, its failure
+        arc is taken, at most two of them a token."""
+        g, state = self.grams, self.states()
+        total, going = np.zeros(state.size), np.ones(state.size, bool)
+        for least, at, count, weight in ((self.above, g.triple_at, self.three, self.log3), (1, g.pair_at, self.two, self.log2)):
+            here = np.flatnonzero(going & (state >= least))
+            on = count[at[here]] > 0
+            total[here[on]] += weight[at[here[on]]]
+            going[here[on]] = False
+            here = here[~on]
+            total[here] += self.back[state[here]]
+            state[here] = self.fail[state[here]]
+        total[going] += self.log1[g.tokens[going]]
+        return np.add.reduceat(total, np.cumsum(g.sizes) - g.sizes)
 
 
 def score(docs: DataFrame, train: Column, keep: list[str], text_col: str = "text") -> tuple[DataFrame, Model]:
@@ -397,12 +390,13 @@ def score(docs: DataFrame, train: Column, keep: list[str], text_col: str = "text
     A null text is empty: its only token is the end. A null `train` is false. Rows are scored
     on their own, so repeated rows get equal scores. With no training text every word is
     unknown, with weight 0; an empty table gives an empty result. Words and n-grams are told
-    apart by 64-bit and 46-bit hashes (the latter inside a part). A block holds some 200 bytes
-    a token, so the longest single text bounds a task's memory.
+    apart by 64-bit hashes, n-grams inside a part by 38 bits (of n-grams of one part, one in
+    260,000 meets another). A block holds some 200 bytes a token, so the longest single text
+    bounds a task's memory.
     """
     blocks = materialize(_blocks(docs, train, keep, text_col), compression="zstd")
     tokens, learned = blocks.agg(F.sum("n"), F.sum("learned")).first()
-    bits = max(0, int(np.ceil(np.log2(max(1, 2 * (tokens or 0) / PART_GRAMS)))))
+    bits = min(PART_BITS, int(np.ceil(np.log2(max(1, 2 * (tokens or 0) / PART_GRAMS)))))
     answers = materialize(_answered(_asked(blocks, bits)), compression="zstd")
     model = _model(learned or 0, answers)
     schema = f"{', '.join(f'`{c}` {docs.schema[c].dataType.simpleString()}' for c in keep)}, n_tokens long, n_known long, base_score double, score double"
@@ -411,7 +405,7 @@ def score(docs: DataFrame, train: Column, keep: list[str], text_col: str = "text
     def run(answer: pa.Table, block: pa.Table) -> pa.Table:
         row = block.drop(["kept", "n", "learned"]).to_pylist()[0]
         grams, _ = _read(row)
-        order, _ = grams.dealt(bits)
+        order, _, _ = grams.dealt(bits)
         totals = np.empty(order.size, np.int64)
         by_part = answer.sort_by("p").column("totals").to_pylist()
         totals[order] = np.concatenate([_unpack(x, np.int64) for x in by_part])
@@ -419,7 +413,7 @@ def score(docs: DataFrame, train: Column, keep: list[str], text_col: str = "text
         first = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x[grams.tokens], first)
         kept = block.column("kept").combine_chunks().flatten().flatten()
-        mine = [sizes, add((c > 0).astype(np.int64)), add(model.log_base(c)), Automaton(grams, totals, model).scores()]
+        mine = [sizes, add((c > 0).astype(np.int64)), add(model.log_base(c)), Automaton(grams, totals, model).read()]
         return pa.Table.from_arrays([*kept, *map(pa.array, mine)], schema=out)
 
     asked = answers.select("block", "p", "totals").groupBy("block")

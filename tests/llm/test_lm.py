@@ -106,7 +106,7 @@ def test_every_context_is_a_distribution(scored):
 
 def test_blocks_and_parts_do_not_change_scores(spark, scored, monkeypatch):
     rows, got, _ = scored
-    for name, size in (("BLOCK_TOKENS", 64), ("PART_GRAMS", 32), ("SLICE_TOKENS", 40)):
+    for name, size in (("BLOCK_TOKENS", 64), ("PART_GRAMS", 32)):
         monkeypatch.setattr(lm, name, size)
     df = spark.createDataFrame(rows, "id long, text string, yes boolean, base_score string").repartition(2)
     out, _ = lm.score(df, F.col("yes"), ["id"])
