@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import REGIMES, share_of
+from cohortlab.operators.constraints import LEAST
 from cohortlab.operators.ranking import in_hash_order, in_source_order
 
 ROLES = ("train", "validation", "test", "context_unseen_early")
 
 
+def refused(condition: Column, value: Column | str, *message: Column | str) -> Column:
+    """`value`, but the query fails with the message on rows that meet the condition."""
+    text = F.concat(*[F.lit(m) if isinstance(m, str) else m.cast("string") for m in message])
+    return F.when(condition, F.raise_error(text).cast("string")).otherwise(value)
+
+
+def long_enough(role: Column, regime: str) -> Column:
+    """`role`, refused in sources with fewer rows (column n) than the regime can split."""
+    return refused(F.col("n") < LEAST[regime], role, f"{regime}: source ", F.col("source_key"), " has ", F.col("n"), f" rows of {LEAST[regime]}")
+
+
+def supplied(role: Column) -> Column:
+    """`role`, refused on rows whose supplied split is neither of the two."""
+    known = F.coalesce(F.col("supplied_split").isin("training", "testing"), F.lit(False))
+    return refused(~known, role, "O: supplied split of ", F.col("sample_id"))
+
+
 def holdout(df: DataFrame, key: str, fraction: float, seed: int, stratum: str = "label") -> DataFrame:
     """The rows held out: ceil(fraction x rows) in all, shared over strata by largest remainder,
     in each stratum the rows of least hash."""
@@ -32,10 +50,11 @@ def sources(frames: DataFrame) -> DataFrame:
 
 
 def split_o(frames: DataFrame, seed: int = 42) -> DataFrame:
-    """Supplied test rows; a tenth of the supplied training rows validates."""
+    """Supplied test rows; a tenth of the supplied training rows validates. Rows of another
+    supplied split are refused."""
     held = holdout(frames.where(F.col("supplied_split") == "training").select("sample_id", "label"), "sample_id", 0.1, seed)
     role = F.when(F.col("supplied_split") == "testing", "test").when(F.col("held"), "validation").otherwise("train")
-    return _flagged(frames, held, "sample_id", "held").withColumn("role", role).drop("held")
+    return _flagged(frames, held, "sample_id", "held").withColumn("role", supplied(role)).drop("held")
 
 
 def source_roles(frames: DataFrame, seed: int = 42) -> DataFrame:
@@ -52,10 +71,10 @@ def split_s(frames: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def split_t(frames: DataFrame) -> DataFrame:
-    """80 / 10 / 10 percent of every source, in order."""
+    """80 / 10 / 10 percent of every source, in order; sources of fewer than three rows are refused."""
     k = share_of(0.1, "n")
     role = F.when(F.col("rn") <= F.col("n") - 2 * k, "train").when(F.col("rn") <= F.col("n") - k, "validation").otherwise("test")
-    return in_source_order(frames).withColumn("role", role).drop("rn", "n")
+    return in_source_order(frames).withColumn("role", long_enough(role, "T")).drop("rn", "n")
 
 
 def unseen_sources(frames: DataFrame, seed: int = 42) -> DataFrame:
@@ -64,10 +83,11 @@ def unseen_sources(frames: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def split_st(frames: DataFrame, seed: int = 42) -> DataFrame:
-    """Early and late parts of every source; withheld sources are context and test."""
+    """Early and late parts of every source; withheld sources are context and test. Sources of
+    one row are refused."""
     early = F.col("rn") <= F.col("n") - share_of(0.2, "n")
     role = F.when(F.col("unseen"), F.when(early, "context_unseen_early").otherwise("test")).otherwise(F.when(early, "train").otherwise("validation"))
-    return _flagged(in_source_order(frames), unseen_sources(frames, seed), "source_key", "unseen").withColumn("role", role).drop("rn", "n", "unseen")
+    return _flagged(in_source_order(frames), unseen_sources(frames, seed), "source_key", "unseen").withColumn("role", long_enough(role, "ST")).drop("rn", "n", "unseen")
 
 
 def all_splits(frames: DataFrame, seed: int = 42) -> DataFrame:
@@ -87,6 +107,7 @@ def all_splits(frames: DataFrame, seed: int = 42) -> DataFrame:
         "T": F.when(F.col("rn") <= F.col("n") - 2 * k, "train").when(F.col("rn") <= F.col("n") - k, "validation").otherwise("test"),
         "ST": F.when(F.col("_s") == "test", F.when(early, "context_unseen_early").otherwise("test")).otherwise(F.when(early, "train").otherwise("validation")),
     }
+    roles |= {"O": supplied(roles["O"]), "T": long_enough(roles["T"], "T"), "ST": long_enough(roles["ST"], "ST")}
     laid = F.array(*[F.struct(F.lit(r).alias("regime"), role.alias("role")) for r, role in roles.items()])
     return rows.select(*frames.columns, F.inline(laid))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.columns import REGIMES
+
+#: Rows that a source must have in each regime and in a progressive study.
+LEAST = {"S": 1, "T": 3, "ST": 2, "progressive": 4}
 DEV = ("train", "validation")
 
 
@@ -41,23 +43,30 @@ def chronology(splits: DataFrame) -> DataFrame:
 
 
 def constraints(frames: DataFrame, splits: DataFrame) -> DataFrame:
-    """(regime, rule, violations) of every rule."""
-    a, le, ch = accounting(frames, splits), leakage(splits), chronology(splits)
-    classes = splits.where(F.col("role") != "context_unseen_early").groupBy("regime", "role").agg(F.count_distinct("label").alias("k"))
-    complete = classes.groupBy("regime").agg(F.count_if(F.col("k") == 2).alias("good")).select("regime", (3 - F.col("good")).alias("v"))
+    """(regime, rule, violations) of every rule: one pass by source, one by sample."""
+    at = {"train": "train", "validation": "validation", "test": "test", "early": "context_unseen_early"}
+    of = {n: F.col("role") == r for n, r in at.items()}
+    edges = [f(F.when(of[n], F.col("frame_number"))).alias(f"{e}_{n}") for n in at for f, e in ((F.min, "lo"), (F.max, "hi"))]
+    classes = [F.bool_or(of[n] & (F.col("label") == label)).alias(f"{n}_{label}") for n in ("train", "validation", "test") for label in ("flip", "notflip")]
+    by = splits.groupBy("regime", "source_key").agg(*edges, *classes, F.count_distinct("role").alias("roles"))
+    in_order = (F.col("hi_train") < F.col("lo_validation")) & (F.col("hi_validation") < F.col("lo_test"))
+    early_late = F.when(F.col("hi_train").isNotNull(), F.col("hi_train") < F.col("lo_validation")).otherwise(F.col("hi_early") < F.col("lo_test"))
+    kept = F.coalesce(F.when(F.col("regime") == "T", in_order).otherwise(early_late), F.lit(False))
+    developed, tested = F.col("lo_train").isNotNull() | F.col("lo_validation").isNotNull(), F.col("lo_test").isNotNull()
+    first = F.col("lo_train").isNotNull() | F.col("lo_early").isNotNull()
+    lacks = sum((1 - (F.max(F.col(f"{n}_flip").cast("int")) * F.max(F.col(f"{n}_notflip").cast("int"))) for n in ("validation", "test")), 1 - F.max(F.col("train_flip").cast("int")) * F.max(F.col("train_notflip").cast("int")))
+    facts = by.groupBy("regime").agg(
+        lacks.cast("long").alias("both_classes"), F.count_if(tested & developed).alias("test_sources_disjoint"), F.count_if(F.col("roles") > 1).alias("one_role_a_source"),
+        F.count_if(~kept).alias("chronology"), F.count_if(~first).alias("fitting_rows"),
+    )
+    applies = {"both_classes": REGIMES, "test_sources_disjoint": ("S", "ST"), "one_role_a_source": ("S",), "chronology": ("T", "ST"), "fitting_rows": ("T", "ST")}
+    told = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("violations"), F.lit(list(regimes)).alias("where")) for rule, regimes in applies.items()])
+    told = facts.select("regime", F.inline(told)).where(F.array_contains("where", F.col("regime"))).drop("where")
+    a = accounting(frames, splits)
     n = frames.groupBy("source_key").agg(F.count("*").alias("n"))
-    short = {"S": 1, "T": 3, "ST": 2, "progressive": 4}
-    lengths = n.agg(*[F.count_if(F.col("n") < least).alias(r) for r, least in short.items()])
-    lengths = lengths.select(F.inline(F.array(*[F.struct(F.lit(r).alias("regime"), F.lit("minimum_length").alias("rule"), F.col(r).alias("violations")) for r in short])))
-    parts = [
-        a.select("regime", F.lit("row_accounting").alias("rule"), (F.col("missing") + F.col("unknown") + F.col("repeated")).alias("violations")),
-        complete.select("regime", F.lit("both_classes").alias("rule"), F.col("v").alias("violations")),
-        le.where(F.col("regime").isin("S", "ST")).select("regime", F.lit("test_sources_disjoint").alias("rule"), F.col("also_in_development").alias("violations")),
-        le.where(F.col("regime") == "S").select("regime", F.lit("one_role_a_source").alias("rule"), F.col("sources_with_many_roles").alias("violations")),
-        ch.select("regime", F.lit("chronology").alias("rule"), "violations"),
-        lengths,
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    lengths = n.agg(*[F.count_if(F.col("n") < least).alias(r) for r, least in LEAST.items()])
+    lengths = lengths.select(F.inline(F.array(*[F.struct(F.lit(r).alias("regime"), F.lit("minimum_length").alias("rule"), F.col(r).alias("violations")) for r in LEAST])))
+    return a.select("regime", F.lit("row_accounting").alias("rule"), (F.col("missing") + F.col("unknown") + F.col("repeated")).alias("violations")).unionByName(told).unionByName(lengths)
 
 
 class ConstraintViolation(ValueError):
@@ -78,10 +87,12 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def accepted(df: DataFrame, condition: Column, message: str) -> DataFrame:
-    """`df`, after checking that every row meets the condition."""
-    if not df.where(~F.coalesce(condition, F.lit(False))).isEmpty():
-        raise ConstraintViolation(message)
+def accepted(df: DataFrame, condition: Column, message: str, first: int = 5) -> DataFrame:
+    """`df`, after checking that every row meets the condition; the message names the first
+    offenders by their first column."""
+    bad = df.where(~F.coalesce(condition, F.lit(False))).select(df.columns[0]).limit(first).collect()
+    if bad:
+        raise ConstraintViolation(f"{message}: {', '.join(str(r[0])[:200] for r in bad)}")
     return df
 
 

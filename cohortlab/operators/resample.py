@@ -7,40 +7,47 @@ sources' counts, so the cost is resamples x sources however many frames there ar
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
+from cohortlab.operators import ranking
 from cohortlab.operators.constraints import ConstraintViolation
 
 PARTS = ("tn", "fp", "fn", "tp")
+#: Draws that one row is unfolded to at once, and characters of a source's key that make a block.
+SLOTS, PREFIX = 4096, 11
 
 
 def numbered(per_source: DataFrame, *by: str) -> DataFrame:
-    """Adds idx (0.. by source_key, as draws number them) and k (sources)."""
-    w = Window.partitionBy(*by)
-    return per_source.withColumn("idx", F.row_number().over(w.orderBy("source_key")) - 1).withColumn("k", F.count("*").over(w))
+    """Adds idx (0.. by source_key, as draws number them) and k (sources); ranked in blocks."""
+    rows = ranking._ranked(per_source, list(by), F.substring("source_key", 1, PREFIX), ["source_key"], "idx", "k")
+    return rows.withColumn("idx", F.col("idx") - 1)
 
 
 def hash_draws(groups: DataFrame, reps: int, seed: int, *by: str) -> DataFrame:
     """(by.., rep, idx): k draws a resample, each the md5 of seed, resample and slot."""
     reps_ = groups.select(*by, "k").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    slots = reps_.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
+    some = reps_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(k - 1) div {SLOTS}"))))
+    low, high = F.col("block") * SLOTS + 1, F.least(F.col("k"), (F.col("block") + 1) * SLOTS)
+    slots = some.withColumn("slot", F.explode(F.sequence(low, high)))
     return slots.select(*by, "rep", (C.hash_number(str(seed), F.col("rep"), F.col("slot")) % F.col("k")).alias("idx"))
 
 
-def numpy_draws(groups: DataFrame, reps: int, seed: int) -> DataFrame:
-    """The same draws as numpy's default generator makes row after row, for one group."""
-    k = groups.agg(F.max("k")).first()[0]
-    rng = np.random.default_rng(seed)
-    rows = [(r + 1, rng.integers(0, k, k).tolist()) for r in range(reps)]
-    return groups.sparkSession.createDataFrame(rows, "rep int, idx array<long>").select("rep", F.explode("idx").alias("idx"))
+def numpy_draws(groups: DataFrame, reps: int, seed: int, *by: str) -> DataFrame:
+    """The same draws as numpy's default generator makes row after row, for each group anew."""
+    rows = []
+    for g in groups.select(*by, "k").distinct().collect():  # a row a group
+        rng = np.random.default_rng(seed)
+        rows += [(*[g[b] for b in by], r + 1, rng.integers(0, g.k, g.k).tolist()) for r in range(reps)]
+    kinds = "".join(f"`{b}` {groups.schema[b].dataType.simpleString()}, " for b in by)
+    return groups.sparkSession.createDataFrame(rows, f"{kinds}rep int, idx array<long>").select(*by, "rep", F.explode("idx").alias("idx"))
 
 
 def cluster_bootstrap(pred: DataFrame, *by: str, reps: int = 5000, seed: int = 42, draws: str = "hash") -> DataFrame:
-    """Percentile interval of macro F1 over resampled sources."""
+    """Percentile interval of macro F1 over resampled sources; `draws` is hash or numpy."""
     per = numbered(pred.groupBy(*by, "source_key").agg(*C.cells()), *by)
-    drawn = hash_draws(per, reps, seed, *by) if draws == "hash" else numpy_draws(per, reps, seed)
+    drawn = {"hash": hash_draws, "numpy": numpy_draws}[draws](per, reps, seed, *by)
     sums = drawn.join(per.select(*by, "idx", *PARTS), [*by, "idx"]).groupBy(*by, "rep").agg(*[F.sum(p).alias(p) for p in PARTS])
     scores = sums.select(*by, C.macro_f1().alias("s"))
     point = pred.groupBy(*by).agg(F.count_distinct("source_key").alias("n_sources"), *C.cells()).select(*by, "n_sources", F.round(C.macro_f1(), 6).alias("point_macro_f1"))
@@ -75,7 +82,9 @@ def require_paired(a: DataFrame, b: DataFrame) -> None:
 
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, reps: int = 5000, seed: int = 42) -> DataFrame:
-    """Interval of macro F1 of b minus a over the same resampled sources."""
+    """Interval of macro F1 of b minus a over the same resampled sources; raises unless the two
+    prediction sets hold the same samples, each once."""
+    require_paired(a, b)
     rows = paired(a, b)
     def cells(side: str) -> list:
         hit = lambda t, p: F.count_if((F.col("target") == t) & (F.col(f"prediction_{side}") == p))
@@ -91,7 +100,7 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, reps: int = 5000, seed: int = 4
     return point.join(F.broadcast(interval(delta(sums)).select("n_resamples", "ci_lower", "ci_upper")))  # one row
 
 
-def frame_bootstrap(pred: DataFrame, *by: str, reps: int = 50, seed: int = 42, draws: str = "hash") -> DataFrame:
+def frame_bootstrap(pred: DataFrame, *by: str, reps: int = 5000, seed: int = 42, draws: str = "hash") -> DataFrame:
     """Interval of macro F1 over resampled frames.
 
     A draw only matters by its confusion cell, so frames are drawn from the four counts and

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
-from cohortlab.operators.cohorts import _flagged, unseen_sources
+from cohortlab.operators.cohorts import _flagged, long_enough, unseen_sources
 from cohortlab.operators.constraints import ConstraintViolation, not_empty
 from cohortlab.operators.ranking import in_source_order
 
@@ -21,7 +21,7 @@ def checkpoints(frames: DataFrame, seed: int = 42, coverages: tuple[int, ...] =
     The first floor(coverage x n) rows of a source, two at least, are observed; the last
     fifth of them, one at least, validates; the others train; the rest is future. In ST,
     withheld sources give the future only and the other sources all but the future. Other
-    regimes and coverages are refused.
+    regimes and coverages, and sources of fewer than four rows, are refused.
     """
     if not regimes or not coverages or set(regimes) - {"T", "ST"} or set(coverages) - set(COVERAGES):
         raise ConstraintViolation(f"regimes {regimes} or coverages {coverages}")
@@ -31,7 +31,7 @@ def checkpoints(frames: DataFrame, seed: int = 42, coverages: tuple[int, ...] =
     fitted = F.greatest(F.lit(1), F.col("observed") - F.greatest(F.lit(1), F.floor(F.lit(0.2) * F.col("observed"))))
     part = F.when(F.col("rn") <= fitted, "train").when(F.col("rn") <= F.col("observed"), "validation").otherwise("future")
     future = F.col("part") == "future"
-    rows = rows.withColumn("part", part).withColumn("regime", F.explode(F.array(*[F.lit(r) for r in regimes])))
+    rows = rows.withColumn("part", long_enough(part, "progressive")).withColumn("regime", F.explode(F.array(*[F.lit(r) for r in regimes])))
     rows = rows.where((F.col("regime") == "T") | (F.col("unseen") == future))
     return rows.withColumn("horizon_position", F.when(future, F.col("rn") - F.col("observed"))).withColumn("frame_position_percent", F.when(future, F.col("rn") / F.col("n") * 100)).drop("observed")
 
@@ -41,10 +41,45 @@ def coverage(points: DataFrame) -> DataFrame:
     return points.groupBy("regime", "coverage_percent").agg(count("train"), count("validation"), count("future"), F.count_distinct(F.when(F.col("part") == "future", F.col("source_key"))).alias("n_future_sources"))
 
 
+def rules(points: DataFrame) -> DataFrame:
+    """(regime, coverage_percent, rule, violations): each part holds rows of both classes, none is
+    empty, no sample is in two parts and, in ST, no source is in the future and before it."""
+    parts = ("train", "validation", "future")
+    of = lambda p: F.col("part") == p
+    per = points.groupBy("regime", "coverage_percent", "sample_id").agg(F.count_distinct("part").alias("k"))
+    twice = per.groupBy("regime", "coverage_percent").agg(F.count_if(F.col("k") > 1).alias("samples_disjoint"))
+    by = points.groupBy("regime", "coverage_percent", "source_key").agg(
+        *[F.count_if(of(p) & (F.col("label") == label)).alias(f"{p}_{label}") for p in parts for label in ("flip", "notflip")]
+    )
+    rows = lambda p: F.col(f"{p}_flip") + F.col(f"{p}_notflip")
+    both = F.count_if((rows("future") > 0) & (rows("train") + rows("validation") > 0))
+    facts = by.groupBy("regime", "coverage_percent").agg(
+        both.alias("both"), *[F.sum(rows(p)).alias(p) for p in parts], *[((F.sum(f"{p}_flip") == 0) | (F.sum(f"{p}_notflip") == 0)).cast("int").alias(f"{p}_one") for p in parts]
+    )
+    found = {
+        "rows_in_every_part": F.lit(0) + sum(((F.col(p) == 0).cast("int") for p in parts[1:]), (F.col("train") == 0).cast("int")),
+        "both_classes": F.col("train_one") + F.col("validation_one") + F.col("future_one"),
+        "samples_disjoint": F.col("samples_disjoint"),
+        "sources_disjoint": F.when(F.col("regime") == "ST", F.col("both")).otherwise(0),
+    }
+    rows_ = facts.join(twice, ["regime", "coverage_percent"])
+    return rows_.select("regime", "coverage_percent", F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), v.cast("long").alias("violations")) for n, v in found.items()])))
+
+
 def future(points: DataFrame) -> DataFrame:
     return points.where(F.col("part") == "future")
 
 
+def enriched(scored: DataFrame, ahead: DataFrame) -> DataFrame:
+    """The scored rows with their place in each checkpoint's future. A sample has one score, and
+    one place a checkpoint: the query fails on a sample that repeats on either side."""
+    once = scored.groupBy("sample_id").agg(F.count("*").alias("_c"), *[F.first(c).alias(c) for c in scored.columns if c != "sample_id"])
+    place = ahead.groupBy("regime", "coverage_percent", "sample_id").agg(F.count("*").alias("_k"), F.first("horizon_position").alias("horizon_position"), F.first("frame_position_percent").alias("p"))
+    rows = once.join(place, "sample_id")
+    checked = F.when((F.col("_c") > 1) | (F.col("_k") > 1), F.raise_error(F.concat(F.lit("not one to one: "), "sample_id")).cast("string")).otherwise(F.col("sample_id"))
+    return rows.withColumn("sample_id", checked).withColumn("frame_position_percent", F.round("p", 6)).drop("_c", "_k", "p")
+
+
 def horizon(pred: DataFrame, width: int = WIDTH, least_frames: int = LEAST_FRAMES, least_sources: int = LEAST_SOURCES) -> DataFrame:
     """Windows of `width` future positions; metrics only where each class has enough rows and sources."""
     k = F.floor((F.col("horizon_position") - 1) / width)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
@@ -14,14 +14,15 @@ def epoch_log(batches: DataFrame) -> DataFrame:
 
 
 def improvements(scores: DataFrame) -> DataFrame:
-    """Adds improved: strictly better than every earlier epoch of the run."""
+    """Adds improved: strictly better than every earlier epoch of the run. NaN is never better."""
     before = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    return scores.withColumn("improved", F.col("f1") > F.coalesce(F.max("f1").over(before), F.lit(-1.0)))
+    real = F.nanvl("f1", F.lit(None))
+    return scores.withColumn("improved", F.coalesce(real > F.coalesce(F.max(real).over(before), F.lit(-1.0)), F.lit(False)))
 
 
 def best_epoch(scores: DataFrame) -> DataFrame:
-    """The earliest epoch of the run's best score."""
-    return scores.groupBy("run").agg(F.max("f1").alias("best_f1"), F.max_by("epoch", F.struct("f1", -F.col("epoch"))).alias("best_epoch"))
+    """The earliest epoch of the run's best score; NaN scores do not count."""
+    return scores.where(~F.isnan("f1")).groupBy("run").agg(F.max("f1").alias("best_f1"), F.max_by("epoch", F.struct("f1", -F.col("epoch"))).alias("best_epoch"))
 
 
 def early_stop(scores: DataFrame, patience: int = 5) -> DataFrame:
@@ -41,7 +42,7 @@ def best_stage(stages: DataFrame) -> DataFrame:
 
 def qualifying(trials: DataFrame) -> DataFrame:
     """Adds qualifies: finished with a positive, finite score."""
-    good = (F.col("status") == "finished") & F.col("f1").isNotNull() & ~F.isnan("f1") & (F.col("f1") > 0)
+    good = (F.col("status") == "finished") & (F.col("f1") > 0) & (F.col("f1") < float("inf"))  # NaN is above infinity
     return trials.withColumn("qualifies", F.coalesce(good, F.lit(False)))
 
 
@@ -53,7 +54,7 @@ def sweep_stop(trials: DataFrame, target: int = 30, factor: int = 5) -> DataFram
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    made = sweep_stop(trials).where("status = 'finished' AND f1 IS NOT NULL")
+    made = sweep_stop(trials).where((F.col("status") == "finished") & F.col("f1").isNotNull() & ~F.isnan("f1"))
     return made.groupBy("sweep").agg(F.max_by("attempt", F.struct("f1", -F.col("attempt"))).alias("attempt"), F.max("f1").alias("f1"))
 
 
@@ -74,6 +75,20 @@ def resolve_config(trials: DataFrame) -> DataFrame:
     return trials.withColumn("weight_decay", F.when(F.col("weight_decay_mode") == "zero", 0.0).otherwise(F.col("positive_weight_decay")))
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add epoch or trial rows to the log table at `path`, which keeps what it has."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The rows of a log table; of rows that a repeated attempt has logged again (equal keys,
+    and a logged_at) the last one."""
+    rows = spark.read.parquet(path)
+    if not keys:
+        return rows
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "logged_at").alias("r")).select(*keys, "r.*")
+
+
 def losses(logits: DataFrame) -> DataFrame:
     """(logit, target) -> probability and cross-entropy."""
     return logits.withColumn("prob", F.round(C.sigmoid(F.col("logit")), 9)).withColumn("loss", F.round(C.log_loss(F.col("logit"), F.col("target")), 9))

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
-from cohortlab.operators import cohorts, constraints, errors, manifest, maps, metrics, models, ranking, reports, resample, temporal, training
+from cohortlab.operators import cohorts, constraints, errors, manifest, maps, metrics, models, reports, resample, temporal, training
 from cohortlab.sources import files, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-REPS, FRAME_REPS, SEED = 200, 20, 42
-#: Resamples of the queries `.._whole`, which have no SQL; those above are what the SQL repeats.
-WHOLE, WHOLE_QUERIES = 5000, {}
+#: Resamples, as the reports to be reproduced have them.
+REPS, SEED = 5000, 42
+#: Queries that SQL does not repeat.
+MORE: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
@@ -23,8 +24,8 @@ def query(f: Query) -> Query:
     return f
 
 
-def whole_query(f: Query) -> Query:
-    WHOLE_QUERIES[f.__name__] = f
+def more(f: Query) -> Query:
+    MORE[f.__name__] = f
     return f
 
 
@@ -190,11 +191,16 @@ def frozen_cohort(spark, d):
     return temporal.frozen_cohort(frames, cohorts.split_st(frames))
 
 
+@query
+def progressive_rules(spark, d):
+    return temporal.rules(_points(spark, d))
+
+
 @query
 def future_enrich(spark, d):
-    keep = _future(spark, d).where("regime = 'T' AND coverage_percent = 90")
+    """Every checkpoint's future rows with their scores, which exist once a frame."""
     scored = fixtures.predictions(_frames(spark, d)).select("sample_id", "prob_flip", "prediction", "correct")
-    return scored.join(keep.select("sample_id", "horizon_position", F.round("frame_position_percent", 6).alias("frame_position_percent")), "sample_id")
+    return temporal.enriched(scored, temporal.future(_points(spark, d)))
 
 
 @query
@@ -315,27 +321,13 @@ def paired_bootstrap(spark, d):
 
 @query
 def frame_bootstrap(spark, d):
-    return resample.frame_bootstrap(_tests(spark, d).where("regime = 'ST'"), "regime", reps=FRAME_REPS, seed=SEED)
-
-
-@whole_query
-def bootstrap_whole(spark, d):
-    return resample.cluster_bootstrap(_tests(spark, d), "regime", reps=WHOLE, seed=SEED)
-
+    return resample.frame_bootstrap(_tests(spark, d), "regime", reps=REPS, seed=SEED)
 
-@whole_query
-def errorbars_whole(spark, d):
-    return reports.error_bars(bootstrap_whole(spark, d))
 
-
-@whole_query
-def paired_bootstrap_whole(spark, d):
-    return resample.paired_bootstrap(*_pair(spark, d), reps=WHOLE, seed=SEED)
-
-
-@whole_query
-def frame_bootstrap_whole(spark, d):
-    return resample.frame_bootstrap(_tests(spark, d), "regime", reps=WHOLE, seed=SEED, draws="multinomial")
+@more
+def frame_bootstrap_multinomial(spark, d):
+    """The form for many frames: each resample's four counts are one multinomial draw."""
+    return resample.frame_bootstrap(_tests(spark, d), "regime", reps=REPS, seed=SEED, draws="multinomial")
 
 
 # training log
@@ -431,7 +423,7 @@ def audit_rows(spark, d):
     return reports.transposed(audit(spark, d))
 
 
-@query
+@more
 def stand_in_model(spark, d):
     """Scores of a classifier trained on two thirds of the embeddings, applied to the rest."""
     rows = fixtures.table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("target"))
@@ -465,12 +457,8 @@ def drift(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-__all__ = ["queries", "ranking"]
+    """The queries with SQL, and those without."""
+    return QUERIES | MORE
 
 
-def whole_queries() -> dict[str, Query]:
-    """The queries that have no SQL, as it would be too slow."""
-    return dict(WHOLE_QUERIES)
+__all__ = ["queries"]

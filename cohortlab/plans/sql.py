@@ -183,11 +183,20 @@ ORACLE: dict[str, str] = {
     "constraints": with_(f"{S}, {ACC}, {LEAK}, {CHRON}, cl AS (SELECT regime, count(*) FILTER (k = 2) AS good FROM (SELECT regime, role, count(DISTINCT label) AS k FROM al WHERE role <> 'context_unseen_early' GROUP BY ALL) GROUP BY regime), ln AS (SELECT count(*) AS n FROM m GROUP BY source_key)", """
   SELECT regime, 'row_accounting' AS rule, missing + unknown + repeated AS violations FROM ac UNION ALL SELECT regime, 'both_classes', 3 - good FROM cl
   UNION ALL SELECT regime, 'test_sources_disjoint', also_in_development FROM lk WHERE regime IN ('S', 'ST') UNION ALL SELECT regime, 'one_role_a_source', sources_with_many_roles FROM lk WHERE regime = 'S'
+  UNION ALL SELECT regime, 'fitting_rows', (SELECT count(*) FROM (SELECT source_key FROM al x WHERE x.regime = ch.regime GROUP BY source_key HAVING count(*) FILTER (role IN ('train', 'context_unseen_early')) = 0)) FROM ch
   UNION ALL SELECT regime, 'chronology', violations FROM ch UNION ALL SELECT r, 'minimum_length', (SELECT count(*) FROM ln WHERE n < k) FROM (VALUES ('S', 1), ('T', 3), ('ST', 2), ('progressive', 4)) v(r, k)"""),
     "coverage": with_(PTS, "SELECT regime, coverage_percent, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'validation') AS n_validation, count(*) FILTER (part = 'future') AS n_future, count(DISTINCT source_key) FILTER (part = 'future') AS n_future_sources FROM pts GROUP BY ALL"),
+    "progressive_rules": with_(f"""{PTS},
+  f AS (SELECT regime, coverage_percent, count(*) FILTER (part = 'train') AS a, count(*) FILTER (part = 'validation') AS b, count(*) FILTER (part = 'future') AS c,
+    count(DISTINCT label) FILTER (part = 'train') AS la, count(DISTINCT label) FILTER (part = 'validation') AS lb, count(DISTINCT label) FILTER (part = 'future') AS lc FROM pts GROUP BY ALL),
+  tw AS (SELECT regime, coverage_percent, count(*) FILTER (k > 1) AS v FROM (SELECT regime, coverage_percent, sample_id, count(DISTINCT part) AS k FROM pts GROUP BY ALL) GROUP BY ALL),
+  so AS (SELECT regime, coverage_percent, count(*) FILTER (regime = 'ST' AND x AND y) AS v FROM (SELECT regime, coverage_percent, source_key, bool_or(part = 'future') AS x, bool_or(part <> 'future') AS y FROM pts GROUP BY ALL) GROUP BY ALL)""", """
+  SELECT regime, coverage_percent, 'rows_in_every_part' AS rule, ((a = 0)::INT + (b = 0)::INT + (c = 0)::INT)::BIGINT AS violations FROM f
+  UNION ALL SELECT regime, coverage_percent, 'both_classes', ((la <> 2)::INT + (lb <> 2)::INT + (lc <> 2)::INT)::BIGINT FROM f
+  UNION ALL SELECT regime, coverage_percent, 'samples_disjoint', v FROM tw UNION ALL SELECT regime, coverage_percent, 'sources_disjoint', v FROM so"""),
     "st_cohort": with_(f"{M},{held('hs', 'src', 'source_key', 0.2)}", "SELECT source_key, label, CASE WHEN source_key IN (SELECT key FROM hs) THEN 'unseen' ELSE 'known' END AS cohort FROM src"),
     "frozen_cohort": with_(f"{S}, bs AS (SELECT source_key, count(*) FILTER (role IN ('train', 'validation')) AS k, count(*) FILTER (role = 'context_unseen_early') AS c, count(*) FILTER (role = 'test') AS t FROM sx GROUP BY source_key)", "SELECT count(*) FILTER (k > 0) AS known_sources, count(*) FILTER (c + t > 0) AS unseen_sources, count(*) FILTER (k > 0 AND c + t > 0) AS in_both, count(*) FILTER (c + t > 0 AND (c = 0 OR t = 0)) AS incomplete_unseen, sum(c)::BIGINT AS n_context, sum(t)::BIGINT AS n_late, (SELECT count(DISTINCT source_key) FROM m WHERE source_key NOT IN (SELECT source_key FROM sx)) AS missing_sources FROM bs"),
-    "future_enrich": with_(FU, "SELECT sample_id, prob_flip, prediction, correct, horizon_position, round(frame_position_percent, 6) AS frame_position_percent FROM pf WHERE regime = 'T' AND coverage_percent = 90"),
+    "future_enrich": with_(FU, "SELECT regime, coverage_percent, sample_id, prob_flip, prediction, correct, horizon_position, round(frame_position_percent, 6) AS frame_position_percent FROM pf"),
     "horizon": with_(f"{FU}, hz AS (SELECT regime, coverage_percent, (horizon_position - 1) // 3 AS k, count(*) AS n_frames, count(DISTINCT source_key) AS n_sources, count(*) FILTER (label = 'flip') AS n_flip, count(*) FILTER (label = 'notflip') AS n_notflip, count(DISTINCT source_key) FILTER (label = 'flip') AS flip_sources, count(DISTINCT source_key) FILTER (label = 'notflip') AS notflip_sources, {CELLS} FROM pf GROUP BY ALL), hr AS (SELECT *, n_flip >= 20 AND n_notflip >= 20 AND flip_sources >= 8 AND notflip_sources >= 8 AS reportable FROM hz)",
         f"SELECT regime, coverage_percent, k * 3 + 1 AS start_horizon, k * 3 + 3 AS end_horizon, n_frames, n_sources, n_flip, n_notflip, flip_sources, notflip_sources, reportable, CASE WHEN reportable THEN round({MACRO}, 6) END AS macro_f1, CASE WHEN reportable THEN round({RECALL}, 6) END AS flip_recall, CASE WHEN reportable THEN fn::DOUBLE END AS false_negatives, CASE WHEN reportable THEN fp::DOUBLE END AS false_positives FROM hr"),
     "matched_suffix": with_(MS, "SELECT * FROM ms"),
@@ -200,23 +209,24 @@ ORACLE: dict[str, str] = {
     "roc_auc": with_(f"{T}, {SCORE_TIES}", "SELECT regime, round(sum(fp * (ctp - tp / 2.0::DOUBLE)) / nullif(max(pos) * max(neg), 0), 6) AS roc_auc_flip FROM cu GROUP BY regime"),
     "avg_precision": with_(f"{T}, {SCORE_TIES}", "SELECT regime, round(CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN sum(tp / pos::DOUBLE * (ctp / (ctp + cfp)::DOUBLE)) END, 6) AS pr_auc_flip FROM cu GROUP BY regime"),
     "missed_rate": with_(T, f"SELECT regime, tp + fn AS positives, fn AS missed, round({div('fn', 'tp + fn')}, 6) AS missed_rate FROM cf"),
-    "errorbars": with_(f"{T},{boot('pt', 200)}", "SELECT list_position(['O', 'S', 'T', 'ST'], regime)::INT AS position, regime, point_macro_f1, round(greatest(point_macro_f1 - ci_lower, 0), 6) AS below, round(greatest(ci_upper - point_macro_f1, 0), 6) AS above FROM po JOIN iv USING (regime)"),
+    "errorbars": with_(f"{T},{boot('pt', 5000)}", "SELECT list_position(['O', 'S', 'T', 'ST'], regime)::INT AS position, regime, point_macro_f1, round(greatest(point_macro_f1 - ci_lower, 0), 6) AS below, round(greatest(ci_upper - point_macro_f1, 0), 6) AS above FROM po JOIN iv USING (regime)"),
     "errors": with_(f"{T}, er AS (SELECT regime, count(*) AS n, count(*) FILTER ({WRONG}) AS e, count(*) FILTER ({WRONG} AND {CONF} >= 0.9) AS h, {CELLS} FROM pt GROUP BY regime)", f"SELECT regime, e AS n_errors, round({div('e', 'n')}, 6) AS error_rate, fp, fn, h AS high_confidence_errors, round({zero(div('h', 'e'))}, 6) AS high_confidence_error_share FROM er"),
     "errors_ext": with_(f"{T}, ee AS (SELECT *, {CONF} AS c FROM pt WHERE {WRONG})", "SELECT regime, CASE WHEN count(*) FILTER (target = 1) >= count(*) FILTER (target = 0) THEN 'false_negative' ELSE 'false_positive' END AS dominant_error_type, round(avg(c), 6) AS mean_error_confidence, round(quantile_cont(c, 0.5), 6) AS median_error_confidence, round(1 - avg(c), 6) AS mean_error_true_class_probability FROM ee GROUP BY regime"),
     "cases4": with_(f"{T}, {pick(FOUR)}, pk AS ({' UNION ALL '.join(f'SELECT * FROM r{i}' for i in range(4))})", "SELECT regime, role, sample_id, relative_path, target, prob_flip, prediction, sample_id IS NOT NULL AS found FROM (SELECT DISTINCT regime FROM pt) CROSS JOIN (VALUES " + ", ".join(f"('{r}')" for r, _, _ in FOUR) + ") v(role) LEFT JOIN pk USING (regime, role)"),
     "cases21": with_(f"{T}, {pick(MANY)}, pk AS ({' UNION ALL '.join(f'SELECT * FROM r{i}' for i in range(6))})", "SELECT regime, role AS selection_role, sample_id, relative_path, target, prob_flip, prediction AS predicted FROM pk"),
-    "bootstrap": with_(f"{T},{boot('pt', 200)}", "SELECT regime, n_sources, point_macro_f1, n_resamples, bootstrap_mean, bootstrap_std, ci_lower, ci_upper, ci_width FROM po JOIN iv USING (regime)"),
+    "bootstrap": with_(f"{T},{boot('pt', 5000)}", "SELECT regime, n_sources, point_macro_f1, n_resamples, bootstrap_mean, bootstrap_std, ci_lower, ci_upper, ci_width FROM po JOIN iv USING (regime)"),
     "paired_join": with_(f"{PAIR}, j AS (SELECT a.sample_id AS x, b.sample_id AS y FROM pa a FULL JOIN (SELECT * FROM pb WHERE frame_number % 7 > 0) b USING (sample_id))", "SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS paired, count(*) FILTER (y IS NULL) AS only_a, count(*) FILTER (x IS NULL) AS only_b, 0::BIGINT AS repeated FROM j"),
     "paired_bootstrap": with_(f"""{PAIR}, jn AS (SELECT a.source_key, a.target, a.prediction AS pa, b.prediction AS pb FROM pa a JOIN pb b USING (sample_id)),
   pn AS (SELECT *, row_number() OVER (ORDER BY source_key) - 1 AS idx, count(*) OVER () AS k FROM (SELECT source_key, {_paired('jn', 'a')}, {_paired('jn', 'b')} FROM jn GROUP BY source_key)),
-  dr AS (SELECT rep, {number("'42'", 'rep', 'slot')} % k AS idx FROM (SELECT k, rep, unnest(range(1, k + 1)) AS slot FROM (SELECT DISTINCT k, unnest(range(1, 201)) AS rep FROM pn))),
+  dr AS (SELECT rep, {number("'42'", 'rep', 'slot')} % k AS idx FROM (SELECT k, rep, unnest(range(1, k + 1)) AS slot FROM (SELECT DISTINCT k, unnest(range(1, 5001)) AS rep FROM pn))),
   sm AS (SELECT rep, {', '.join(f'sum({p}{s}) AS {p}{s}' for s in 'ab' for p in ('tn', 'fp', 'fn', 'tp'))} FROM dr JOIN pn USING (idx) GROUP BY rep),
   tt AS (SELECT {', '.join(f'sum({p}{s}) AS {p}{s}' for s in 'ab' for p in ('tn', 'fp', 'fn', 'tp'))} FROM pn),
   dl AS (SELECT {_macro('b')} - {_macro('a')} AS s FROM sm)""", f"SELECT (SELECT round({_macro('b')} - {_macro('a')}, 6) FROM tt) AS point_delta, count(*) AS n_resamples, round(quantile_cont(s, 0.025), 6) AS ci_lower, round(quantile_cont(s, 0.975), 6) AS ci_upper FROM dl"),
-    "frame_bootstrap": with_(f"""{T}, ct AS (SELECT count(*) AS k, {CELLS} FROM pt WHERE regime = 'ST'),
-  dr AS (SELECT rep, {number("'42'", 'rep', 'slot')} % k AS idx, tn, fp, fn FROM (SELECT *, unnest(range(1, k + 1)) AS slot FROM (SELECT *, unnest(range(1, 21)) AS rep FROM ct))),
-  sm AS (SELECT rep, count(*) FILTER (idx < tn) AS tn, count(*) FILTER (idx >= tn AND idx < tn + fp) AS fp, count(*) FILTER (idx >= tn + fp AND idx < tn + fp + fn) AS fn, count(*) FILTER (idx >= tn + fp + fn) AS tp FROM dr GROUP BY rep),
-  sc AS (SELECT {MACRO} AS s FROM sm)""", f"SELECT 'ST' AS regime, (SELECT round({MACRO}, 6) FROM ct) AS point_macro_f1, count(*) AS n_resamples, round(avg(s), 6) AS bootstrap_mean, round(stddev_samp(s), 6) AS bootstrap_std, round(quantile_cont(s, 0.025), 6) AS ci_lower, round(quantile_cont(s, 0.975), 6) AS ci_upper, round(quantile_cont(s, 0.975) - quantile_cont(s, 0.025), 6) AS ci_width FROM sc"),
+    "frame_bootstrap": with_(f"""{T}, ct AS (SELECT regime, count(*) AS k, {CELLS} FROM pt GROUP BY regime),
+  dr AS (SELECT regime, rep, {number("'42'", 'rep', 'slot')} % k AS idx, tn, fp, fn FROM (SELECT *, unnest(range(1, k + 1)) AS slot FROM (SELECT *, unnest(range(1, 5001)) AS rep FROM ct))),
+  sm AS (SELECT regime, rep, count(*) FILTER (idx < tn) AS tn, count(*) FILTER (idx >= tn AND idx < tn + fp) AS fp, count(*) FILTER (idx >= tn + fp AND idx < tn + fp + fn) AS fn, count(*) FILTER (idx >= tn + fp + fn) AS tp FROM dr GROUP BY ALL),
+  sc AS (SELECT regime, {MACRO} AS s FROM sm),
+  po AS (SELECT regime, round({MACRO}, 6) AS point_macro_f1 FROM ct)""", "SELECT regime, point_macro_f1, count(*) AS n_resamples, round(avg(s), 6) AS bootstrap_mean, round(stddev_samp(s), 6) AS bootstrap_std, round(quantile_cont(s, 0.025), 6) AS ci_lower, round(quantile_cont(s, 0.975), 6) AS ci_upper, round(quantile_cont(s, 0.975) - quantile_cont(s, 0.025), 6) AS ci_width FROM sc JOIN po USING (regime) GROUP BY regime, point_macro_f1"),
     "epoch_log": with_(BATCHES, "SELECT run, epoch, round(avg(loss), 9) AS train_loss, count(*) AS batches FROM ba GROUP BY ALL"),
     "best_epoch": with_(SCORES, "SELECT run, max(f1) AS best_f1, arg_max(epoch, (f1, -epoch)) AS best_epoch FROM es GROUP BY run"),
     "early_stop": with_(f"""{SCORES}, im AS (SELECT *, f1 > coalesce(max(f1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS better FROM es),

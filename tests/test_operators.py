@@ -313,15 +313,14 @@ def test_roles_do_not_depend_on_row_order(frames):
     assert a == b
 
 
-def test_whole_bootstraps_take_5000_resamples_of_every_regime(spark):
+def test_bootstraps_take_5000_resamples_of_every_regime(spark):
     from cohortlab.plans import catalog
 
-    known, d = catalog.queries() | catalog.whole_queries(), "/root/testdata/sf0.001"
+    known, d = catalog.queries(), "/root/testdata/sf0.001"
     regimes = {r.regime: r.point_macro_f1 for r in known["bootstrap"](spark, d).collect()}
     assert len(regimes) == 4
-    for name in ("bootstrap_whole", "frame_bootstrap_whole"):
+    for name in ("bootstrap", "frame_bootstrap_multinomial"):
         rows = known[name](spark, d).collect()
         assert {r.regime: r.point_macro_f1 for r in rows} == regimes
         assert all(r.n_resamples == 5000 and r.ci_lower <= r.bootstrap_mean <= r.ci_upper for r in rows)
-    assert known["paired_bootstrap_whole"](spark, d).first().n_resamples == 5000
-    assert known["errorbars_whole"](spark, d).count() == 4
+    assert known["paired_bootstrap"](spark, d).first().n_resamples == 5000
