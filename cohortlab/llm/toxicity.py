@@ -18,15 +18,16 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.arrow import map_batches
 from cohortlab.llm.common import id_crc, materialize
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 24, 12, 8, 8, 8
-WORD_BITS, CHAR_BITS, GRAM, MOST_GRAMS = 14, 12, 3, 24
-WORD = re.compile(r"\w+")
+WORD_BITS, CHAR_BITS = 14, 12
+#: Words; a run of more than 24 letters and digits is read as several, so that all its characters count.
+WORD = re.compile(r"\w{1,24}")
 #: Windows that step together.
 LANES = 8192
 
@@ -141,8 +142,8 @@ class Network:
             np.maximum.at(out, np.concatenate(owner), logits)
         return out
 
-    def worst_windows(self, text: str | None, most: int) -> list[str]:
-        """The `most` windows of highest logit of those that speak for toxicity."""
+    def suspect_windows(self, text: str | None, least: float = -1.0) -> list[str]:
+        """The windows whose logit is above `least`."""
         words = words_of(text)
         known: dict[str, int] = {}
         ids = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
@@ -151,7 +152,7 @@ class Network:
         first = np.array(starts(ids.size))
         at = first[:, None] + np.arange(WINDOW)
         x = self.window_logits(list(known), np.where(at < ids.size, ids[np.minimum(at, ids.size - 1)], -1))
-        return [" ".join(words[first[i] : first[i] + WINDOW]) for i in np.argsort(-x, kind="stable")[:most] if x[i] > -1]
+        return [" ".join(words[first[i] : first[i] + WINDOW]) for i in np.flatnonzero(x > least)]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = self.text_logits(texts)
@@ -260,7 +261,7 @@ def fit(bags: list[tuple[list[str], int]], *, start: Network | None = None, epoc
     places, owner, label = np.array(places), np.array(owner), np.array(label, np.float32)
     vocab = list(known)
     buckets, run, at = word_rows(vocab)
-    size = np.minimum(np.diff(np.append(at, run.size)), MOST_GRAMS)
+    size = np.diff(np.append(at, run.size))
     wide = int(size.max())
     table = run[np.minimum(at[:, None] + np.arange(wide), run.size - 1)]
     # evidence of a bucket: root of its likelihood ratio of standing in toxic texts, beyond chance
@@ -323,9 +324,11 @@ def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, prior: float
     net.slope, net.shift = float(max(a, 1e-3)), float(b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, clean: int, toxic_texts: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float]:
-    """So many texts of each label at most, in order of a hash of the id, and the share of toxic labels."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, clean: int, toxic_texts: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float, int]:
+    """So many ids of each label at most, in order of a hash of the id, with their texts; the share
+    of toxic labels and their number. An id counts once, and not at all if its labels differ."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where(F.col("y") == F.col("z")).drop("z")
     toxic, total = known.agg(F.sum("y"), F.count("*")).first()
     picked = None
     for y, most in ((0, clean), (1, toxic_texts)):
@@ -333,48 +336,47 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, clean: int, toxic_tex
         picked = one if picked is None else picked.union(one)
     # at most clean + toxic_texts rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    return rows, (toxic or 0) / max(1, total)
+    return rows, (toxic or 0) / max(1, total), toxic or 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 800, mined: int = 4, windows: int = 12, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """Fit on a bounded sample: `per_label` toxic texts and `mined` times as many clean ones.
+def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 800, mined: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
+    """Fit on a bounded sample of whole texts: those of `per_label` toxic ids and of `mined` times
+    as many clean ones.
 
-    The first fit reads `windows` windows of each, evenly spread over the text, of five in six
-    toxic texts and of every second clean text. Then the windows of these clean texts that
-    the network takes for toxic are added, and it is fitted on. The other texts are read
-    whole to calibrate the score (with fewer than 100 toxic texts, all toxic ones are).
+    The first fit reads all windows of five in six toxic texts and of every fourth clean text.
+    Then all windows of a half of the clean texts that the network takes for toxic are added,
+    and it is fitted on. The other texts calibrate the score (with fewer than 100 toxic
+    labels, all toxic texts both teach and calibrate). Which text does what is told by hashes
+    of its id. Labels of one id that differ teach nothing.
     """
-    rows, prior = labelled_sample(docs, labels, clean=mined * per_label, toxic_texts=per_label, id_col=id_col, text_col=text_col, label_col=label_col)
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id"))
-    rows = rows.withColumn("rank", rank).withColumn("many", (F.count("*").over(Window.partitionBy("y")) >= 100) | (F.col("y") == 0))
-    fitted = F.when(F.col("y") == 1, ~F.col("many") | (F.col("rank") % 6 > 0)).otherwise(F.col("rank") % 2 > 0)
-    rows = materialize(rows.withColumn("fitted", fitted))
+    rows, prior, toxic = labelled_sample(docs, labels, clean=mined * per_label, toxic_texts=per_label, id_col=id_col, text_col=text_col, label_col=label_col)
+    many = toxic >= 100
+    h = F.pmod(F.crc32(F.concat(F.lit("f|"), F.col("id").cast("string")).cast("binary")), F.lit(12))
+    rows = materialize(rows.withColumn("h", F.when((F.col("y") == 1) & F.lit(not many), -1).otherwise(h).cast("int")))
+    first = rows.where("y = 1 AND (h < 0 OR h > 1) OR y = 0 AND h < 3")
 
     def cut(cols: dict[str, list]) -> dict[str, object]:
-        out = []
-        for text in cols["text"]:
-            words = words_of(text)
-            first = list(starts(len(words)))
-            keep = [first[round(k * (len(first) - 1) / max(1, windows - 1))] for k in range(windows)] if len(first) > windows else first
-            out.append([" ".join(words[s : s + WINDOW]) for s in keep])
-        return {"id": cols["id"], "y": cols["y"], "windows": out}
+        words = [words_of(text) for text in cols["text"]]
+        return {"id": cols["id"], "y": cols["y"], "windows": [[" ".join(w[s : s + WINDOW]) for s in starts(len(w))] for w in words]}
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, y int, windows array<string>"
-    bags = [(r.windows, r.y) for r in sorted(map_batches(rows.where("fitted"), cut, schema).collect(), key=lambda r: (str(r.id), r.y, r.windows))]
+    order = lambda r: (str(r.id), r.y, r.windows)
+    bags = [(r.windows, r.y) for r in sorted(map_batches(first, cut, schema, slice_rows=256).collect(), key=order)]
     net = fit(bags)
     if net is None:
         return None
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def mine(cols: dict[str, list]) -> dict[str, object]:
-        return {"id": cols["id"], "y": cols["y"], "windows": [held.value.worst_windows(t, windows) for t in cols["text"]]}
+        return {"id": cols["id"], "y": cols["y"], "windows": [held.value.suspect_windows(t) for t in cols["text"]]}
 
-    hard = map_batches(rows.where("fitted AND y = 0"), mine, schema, slice_rows=256).where(F.size("windows") > 0).collect()
-    bags += [(r.windows, 0) for r in sorted(hard, key=lambda r: (str(r.id), r.windows))]
-    net = fit(bags, start=net, epochs=4, rate=0.005)
+    hard = map_batches(rows.where("y = 0 AND h BETWEEN 3 AND 8"), mine, schema, slice_rows=256).where(F.size("windows") > 0).collect()
+    bags += [(r.windows, 0) for r in sorted(hard, key=order)]
+    net = fit(bags, start=net, epochs=3, rate=0.005)
     held = docs.sparkSession.sparkContext.broadcast(net)
-    scored = map_batches(rows.where("NOT fitted OR NOT many"), lambda cols: {"x": held.value.text_logits(cols["text"]), "y": cols["y"]}, "x double, y int", slice_rows=256).collect()
+    rest = rows.where("y = 1 AND h <= 1 OR y = 0 AND h > 8")
+    scored = map_batches(rest, lambda cols: {"x": held.value.text_logits(cols["text"]), "y": cols["y"]}, "x double, y int", slice_rows=256).collect()
     calibrate(net, np.array([r.x for r in scored]), np.array([r.y for r in scored]), min(0.9, max(0.01, prior)))
     return net
 

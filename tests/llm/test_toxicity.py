@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -65,6 +66,28 @@ def test_text_score_is_its_worst_window():
     assert (net.scores([*texts, *texts])[: len(texts)] == net.scores(texts)).all()
 
 
+def test_all_characters_of_long_words_count():
+    net, long = tx.Network.fresh(9), "x" * 100_000
+    assert tx.words_of(long + " y") == ["x" * 24] * 4166 + ["x" * 16, "y"]
+    assert net.scores([long + "q"])[0] != net.scores([long])[0]
+
+
+def test_labels_that_differ_teach_nothing_and_repeated_ones_count_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)] + [(2, "second text of 2")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (2, 0), (2, 0), (3, 5), (4, None), (None, 1)], "doc_id long, toxic int")
+    rows, prior, toxic = tx.labelled_sample(docs, labels, clean=10, toxic_texts=10, id_col="doc_id", text_col="text", label_col="toxic")
+    assert sorted((r.id, r.text, r.y) for r in rows.collect()) == [(0, "text 0", 1), (2, "second text of 2", 0), (2, "text 2", 0)]
+    assert (prior, toxic) == (0.5, 1)
+
+
+def test_query_on_the_smallest_tables(spark):
+    from cohortlab.llm import queries
+
+    rows = queries.op2_toxicity(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
 def test_learns_words_and_unseen_forms_of_them(spark):
     def bad(k):
         return [f"grumf{random.choice(CLEAN)}" if random.random() < 0.5 else "blakk" for _ in range(k)]
