@@ -36,9 +36,11 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-ORDERS, BITS, PIECE = 3, 14, 1 << 19
-#: Table rows gathered at once.
-BLOCK = 1 << 17
+ORDERS, BITS = 3, 14
+#: Characters whose n-grams are looked up at once.
+BLOCK = 1 << 16
+#: Lengths of the pieces in which a text teaches.
+PIECES = (40, 160, 600)
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
@@ -50,27 +52,31 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def grams(text: str) -> np.ndarray | None:
-    """(ORDERS, n) table rows of the text's n-grams over letters and single gaps; None without letters."""
+def normalised(text: str) -> np.ndarray | None:
+    """Code points of the lower-case letters, a gap before the first and for each run of others;
+    None without letters."""
     c = code_points(text.lower())
     keep = letters()[c]
     if not keep.any():
         return None
     c = np.where(keep, c, np.uint32(32))
     c = c[keep | np.append(True, keep[:-1])]
-    if c[0] != 32:
-        c = np.append(np.uint32(32), c)
-    out = np.zeros((ORDERS, c.size), np.int32)
-    h = np.zeros(c.size, np.uint32)
+    return c if c[0] == 32 else np.append(np.uint32(32), c)
+
+
+def grams(c: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Table rows of the 1-, 2- and 3-grams that begin at the places lo .. hi."""
+    out, h = [], np.zeros(1, np.uint32)
     for k in range(ORDERS):
-        if c.size > k:
-            h = h[: c.size - k] * np.uint32(2654435761) + (c[k:] + np.uint32(1)) * np.uint32(0x9E3779B1 + 2 * k)
-            out[k, : h.size] = (h >> np.uint32(32 - BITS)).astype(np.int32) + (k << BITS)
-            out[k, h.size :] = out[k, h.size - 1]
-    return out
+        end = min(c.size if hi is None else hi, c.size - k)
+        if end <= lo:
+            break
+        h = h[: end - lo] * np.uint32(2654435761) + (c[lo + k : end + k] + np.uint32(1)) * np.uint32(0x9E3779B1 + 2 * k)
+        out.append((h >> np.uint32(32 - BITS)).astype(np.int32) + (k << BITS))
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
-def train_svm(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, c: float = 4.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
+def train_svm(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, c: float = 4.0, epochs: int = 6, seed: int = 7) -> np.ndarray:
     """L2-loss linear SVM by dual coordinate descent over sparse unit vectors."""
     w, alpha, rng = np.zeros(ORDERS << BITS), np.zeros(len(bags)), np.random.default_rng(seed)
     for _ in range(epochs):
@@ -93,15 +99,15 @@ class LanguageModel:
 
     def margins(self, text: str) -> np.ndarray | None:
         """Sum of the machines' weights over all n-grams, over the root of their number."""
+        c = normalised(text)
+        if c is None:
+            return None
         total, n = np.zeros(self.table.shape[1]), 0
-        for at in range(0, len(text), PIECE):
-            g = grams(text[at : at + PIECE])
-            if g is not None:
-                rows = g.ravel()
-                for i in range(0, rows.size, BLOCK):
-                    total += self.table[rows[i : i + BLOCK]].sum(0, dtype=np.float64)
-                n += g.size
-        return total / np.sqrt(n) if n else None
+        for at in range(0, c.size, BLOCK):
+            rows = grams(c, at, at + BLOCK)
+            total += self.table[rows].sum(0, dtype=np.float64)
+            n += rows.size
+        return total / np.sqrt(n)
 
     def predict(self, text: str | None) -> tuple[str, str | None, float]:
         m = self.margins(text) if text else None
@@ -127,8 +133,9 @@ def fit(snippets: list[tuple[str, str]]) -> LanguageModel:
     """Fit on (text, language) pairs; texts without letters are left out."""
     bags, langs = [], []
     for text, lang in snippets:
-        g = grams(text)
-        if g is not None:
+        c = normalised(text)
+        if c is not None:
+            g = grams(c)
             at, n = np.unique(g, return_counts=True)
             bags.append((at, n / np.sqrt((n * n).sum()), n / np.sqrt(g.size)))
             langs.append(lang)
@@ -155,35 +162,35 @@ def fit(snippets: list[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(families or [UNKNOWN], members or [[UNKNOWN]], pairs, table, np.array(slopes))
 
 
-def _snippets(cols: dict[str, list]) -> dict[str, list]:
-    texts, langs = [], []
-    for text, lang, h in zip(cols["text"], cols["lang"], cols["h"], strict=True):
-        for k, size in enumerate((40, 160, 600)):
-            at = (h >> (8 * k)) % max(1, len(text) - size + 1)
-            texts.append(text[at : at + size])
-            langs.append(lang)
-    return {"text": texts, "lang": langs}
+def pieces(text: str) -> list[str]:
+    """The whole text in pieces of changing length, which share the characters of an n-gram."""
+    out, at = [], 0
+    while at < len(text):
+        size = PIECES[len(out) % len(PIECES)]
+        out.append(text[at : at + size + ORDERS - 1])
+        at += size
+    return out
 
 
-def training_snippets(docs: DataFrame, *, per_language: int = 500, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """About `per_language` labelled texts of each language (chosen by hash of id and text),
-    each giving snippets of 40, 160 and 600 characters: the bounded sample that is fitted."""
+def training_texts(docs: DataFrame, *, per_language: int = 300, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
+    """About `per_language` labelled texts of each language (chosen by hash of id and text), whole,
+    in pieces: the bounded sample that is fitted."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    picked = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.shiftrightunsigned(h, 1).alias("h")).where(F.col("h") / float(1 << 63) < F.element_at(share, F.col("lang")))
-    rows = map_batches(picked, _snippets, "text string, lang string").collect()
-    return sorted((r.text, r.lang) for r in rows)
+    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), 1) / float(1 << 63)
+    picked = labelled.where(h < F.element_at(share, F.col(lang_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return sorted((piece, r.lang) for r in picked.collect() for piece in pieces(r.text))
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """`keep` columns plus lang_pred, family, score for every whole text.
 
-    Null texts and texts without a letter are `und` with score 0. The text's length does
-    not matter; texts beyond 2^19 characters are read in pieces of that length.
+    Null texts and texts without a letter are `und` with score 0. Texts of any length are
+    read whole; equal texts, and so repeated rows, get equal results; an empty table gives
+    an empty result. Only the named columns are read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 3 x 2^14 rows a machine
 
@@ -201,17 +208,22 @@ def train_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.where(id_crc(id_col) % 4 != 2)
 
 
-def identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0, text_col: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` whose language is told with a confidence of `least` or more.
 
-    Rows without a letter have none and go; all columns are kept as they are.
+    Rows without a letter have none and go, repeated rows share their fate, an empty table
+    stays empty. A null language becomes the predicted one; all else is kept as it is.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def confidence(texts: pa.Array) -> pa.Array:
-        found = (held.value.predict(t) for at in range(0, len(texts), 500) for t in texts.slice(at, 500).to_pylist())
-        return pa.array([-1.0 if lang == UNKNOWN else score for lang, _, score in found], pa.float64())
+    @F.arrow_udf("lang string, score double")
+    def told(texts: pa.Array) -> pa.Array:
+        found = [held.value.predict(t) for at in range(0, len(texts), 500) for t in texts.slice(at, 500).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[2] if x[0] != UNKNOWN else -1.0 for x in found], pa.float64())], ["lang", "score"])
 
-    return docs.where(confidence(F.col(text_col)) >= least)
+    rows = docs.select(F.struct("*").alias("row"), told.asNondeterministic()(F.col(text_col)).alias("told"))  # else a filter would read the texts twice
+    row = F.col("row")
+    if lang_col in docs.columns:
+        row = row.withField(lang_col, F.coalesce(row[lang_col], F.col("told.lang")))
+    return rows.where(F.col("told.score") >= least).select(row.alias("row")).select("row.*")

@@ -26,7 +26,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language.fit(language.training_snippets(language.train_rows(docs)))
+    model = language.fit(language.training_texts(language.train_rows(docs)))
     rows = docs.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "text")
     return language.identify(rows, model, ["doc_id", "held_out"])
 

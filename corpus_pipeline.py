@@ -16,7 +16,7 @@ from cohortlab.llm.common import materialize, table
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told. Null, empty and letterless texts go; very
     short texts stay, whatever the confidence."""
-    model = language.fit(language.training_snippets(language.train_rows(docs)))
+    model = language.fit(language.training_texts(language.train_rows(docs)))
     return language.identified(docs, model)
 
 
