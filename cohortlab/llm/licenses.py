@@ -30,6 +30,12 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, "
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
         "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -58,7 +64,13 @@ TEMPLATES = {
         "following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to "
         "endorse or promote products derived from this software without specific prior written permission.",
     ),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "CC0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
@@ -72,8 +84,6 @@ TEMPLATES = {
 #: Words too common to look for.
 COMMON = frozenset("a all an and any are as at be by can for free from in is it may of on one or that the this to under use used was with without you your not work above following version".split())
 WORD = re.compile(r"\w+")
-#: Gaps without anchors of up to so many word pairs are aligned word by word.
-CELLS = 10_000
 
 
 @dataclass(frozen=True)
@@ -118,22 +128,29 @@ def rising(values: list[int]) -> list[int]:
 
 
 def common_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    """A longest common subsequence, as places in a and b.
+
+    A row holds, one bit a word of b, where the length does not grow; each row follows from
+    the one before it by a sum of whole numbers.
+    """
+    where: dict[str, int] = {}
+    for j, w in enumerate(b):
+        where[w] = where.get(w, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    rows = [every]
+    for w in a:
+        met = rows[-1] & where.get(w, 0)
+        rows.append((rows[-1] + met | rows[-1] - met) & every)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
         else:
-            j += 1
-    return out
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -160,11 +177,8 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             out += anchors
             for (i, j), (k, l) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)], strict=True):
                 todo.append((i + 1, k, j + 1, l))
-        elif (a1 - a0) * (b1 - b0) <= CELLS:
+        else:
             out += [(a0 + i, b0 + j) for i, j in common_words(a[a0:a1], b[b0:b1])]
-        else:  # halve the longer side at the template's middle
-            mid_a, mid_b = (a0 + a1) // 2, (b0 + b1) // 2
-            todo += [(a0, mid_a, b0, mid_b), (mid_a, a1, mid_b, b1)]
     return sorted(out)
 
 
@@ -217,9 +231,9 @@ def scan(text: str, known: list[Template], coverage: float) -> list[tuple[str, f
     Of matches that overlap, the one with most matched words is kept.
     """
     spans, words = [], []
-    for m in WORD.finditer(text.lower()):
+    for m in WORD.finditer(text):  # lower case may be longer
         spans.append(m.span())
-        words.append(m.group())
+        words.append(m.group().lower())
     where: dict[str, list[int]] = {}
     keys = frozenset().union(*(t.keys for t in known)) if known else frozenset()
     for i, w in enumerate(words):
@@ -254,13 +268,15 @@ def scan(text: str, known: list[Template], coverage: float) -> list[tuple[str, f
 def find_licenses(docs: DataFrame, *, texts: dict[str, tuple[str, ...]] | None = None, coverage: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per license notice: id, license, coverage, matched, start, end, passage.
 
-    start and end are character offsets in the text. Null and empty texts have none;
+    start and end are character offsets in the text as it stands, whatever its case. Null and
+    empty texts have none;
     repeated rows give repeated rows; only the named columns are read.
     """
     known = templates(TEMPLATES if texts is None else texts, coverage)
     keys = sorted(frozenset().union(*(t.keys for t in known))) if known else []
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    d = d.where(F.lower("text").rlike(r"(?U)\b(?:" + "|".join(map(re.escape, keys)) + r")\b") if keys else F.lit(False))
+    # what counts as a letter outside ASCII differs between the JVM and Python: words end there too
+    d = d.where(F.lower("text").rlike(r"(?<![a-z0-9_])(?:" + "|".join(map(re.escape, keys)) + r")(?![a-z0-9_])") if keys else F.lit(False))
     kind = d.schema["id"].dataType.simpleString()
 
     def run(cols: dict[str, list]) -> dict[str, object]:

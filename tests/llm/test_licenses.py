@@ -37,6 +37,33 @@ def test_patience_is_a_rising_match(a, b):
         assert len(pairs) == len(a)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=14), st.lists(st.sampled_from("abcdef"), max_size=14))
+def test_common_words_are_a_longest_match(a, b):
+    pairs = L.common_words(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert len(pairs) == best[-1][-1]
+
+
+def test_offsets_are_those_of_the_text_as_it_stands(spark):
+    rows = [(1, "İİİİİ Sed RELEASED under the MIT License. After"), (2, "ΑΣ ß Licensed under the MIT License\u0301 x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.passage for r in L.find_licenses(df).collect()}
+    assert got == {1: "RELEASED under the MIT License", 2: "Licensed under the MIT License"}
+
+
+def test_a_long_license_of_repeated_words():
+    words = [random.choice(["shall", "may", "must", "work", "copy", "term"]) for _ in range(900)]
+    known = L.templates({"own": (" ".join(words),)}, 0.85)
+    lost = [w for i, w in enumerate(words) if i % 12]
+    got = L.scan(f"{prose(50)} {' '.join(lost)} {prose(50)}", known, 0.85)
+    assert [(g[0], g[2]) for g in got] == [("own", len(lost))]
+
+
 def all_windows(text, known, coverage):
     """Licenses found by the longest common subsequence of every stretch with every template."""
     words = L.WORD.findall(text.lower())
