@@ -19,7 +19,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab.llm.arrow import map_batches, ship
@@ -30,11 +31,13 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 CONTROL = ("<|start|>", "<|sep|>", "<|end|>")
 ESCAPE = "⁣"
 #: What follows the first character of a control string: this template's and other common ones.
-REST = rf"(?:\|[^|<>\s{ESCAPE}]{{1,64}}\|>|/?s>|</?SYS>>|/?(?:INST|SYS)\]|(?:bos|eos|pad|unk|/?think|/?tool_call)>)"
+REST = rf"(?i:[|｜][^|｜<>\s{ESCAPE}]+[|｜]>|/?s>|</?sys>>|/?(?:inst|sys|available_tools|tool_calls|tool_results)\]|/?(?:bos|eos|pad|unk|mask|cls|sep|think|tool_call|tool_response|start_of_turn|end_of_turn|fim_prefix|fim_middle|fim_suffix)>)"
 ESCAPING = re.compile(rf"([<\[])({ESCAPE}*)(?={REST})")
 ESCAPED = re.compile(rf"([<\[]){ESCAPE}({ESCAPE}*)(?={REST})")
-#: Characters encoded at once; longer texts are encoded in pieces of this length.
+#: Characters after which a text is cut where the pattern cuts it anyway: before a space
+#: between two ASCII letters or digits, so that its ids are those of the whole.
 PIECE = 1 << 16
+CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
 def escape(text: str) -> str:
@@ -46,17 +49,21 @@ def unescape(text: str) -> str:
 
 
 class Codec:
-    """Encoder with three reserved ids after its vocabulary."""
+    """Encoder with three reserved ids after its vocabulary, from the lines of a rank file."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, lines: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
         self.bpe = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.start, self.sep, self.end = range(max(ranks.values()) + 1, max(ranks.values()) + 4)
 
     def encode(self, text: str) -> list[int]:
-        text = escape(text)
-        return [i for at in range(0, len(text), PIECE) for i in self.bpe.encode_ordinary(text[at : at + PIECE])]
+        text, out, at = escape(text), [], 0
+        while at < len(text):
+            cut = CUT.search(text, at + PIECE)
+            end = cut.start() if cut else len(text)
+            out += self.bpe.encode_ordinary(text[at:end])
+            at = end
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.bpe.decode_bytes(list(ids)).decode("utf-8")
@@ -79,8 +86,14 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(lines: bytes) -> Codec:
+    return Codec(lines)
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The driver's vocabulary file (a few MB) for the executors, which need not have it."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def format_turns(conversations: DataFrame, *, tokenizer: str = TOKENIZER, learned: Iterable[str] = ("assistant",), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -92,12 +105,12 @@ def format_turns(conversations: DataFrame, *, tokenizer: str = TOKENIZER, learne
     conversation id form one conversation; repeated rows are repeated turns. Conversations
     are never gathered, so their length is not bounded by a task's memory.
     """
-    learned = frozenset(learned)
+    learned, vocabulary = frozenset(learned), shipped(conversations.sparkSession, tokenizer)
     rows = conversations.select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(cols: dict[str, list]) -> dict[str, object]:
-        ids, masks = codec(tokenizer).turns(cols["role"], cols["text"], learned) if cols["role"] else ([], [])
+        ids, masks = codec(vocabulary.value).turns(cols["role"], cols["text"], learned) if cols["role"] else ([], [])
         digest = [hashlib.sha256(f"{r}\n{t}".encode()).hexdigest()[:16] for r, t in zip(cols["role"], cols["text"], strict=True)]
         return {"conv": cols["conv"], "turn": cols["turn"], "role": cols["role"], "tie": digest, "ids": ids, "loss_mask": masks}
 
@@ -117,9 +130,10 @@ def read_back(turns: DataFrame, *, tokenizer: str = TOKENIZER, id_col: str = "co
     kind = turns.schema[id_col].dataType.simpleString()
     ordered = turns.select(id_col, "pos", "ids", "loss_mask").repartition(F.col(id_col)).sortWithinPartitions(id_col, "pos")
     ship(turns.sparkSession)
+    vocabulary = shipped(turns.sparkSession, tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, here, state, schema = codec(tokenizer), None, None, None
+        c, here, state, schema = codec(vocabulary.value), None, None, None
         fixed = sum(map(len, CONTROL))
 
         def close() -> pa.RecordBatch:
