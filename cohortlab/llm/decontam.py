@@ -5,7 +5,7 @@ slots. A template window is a run of tokens whose slots count only by their type
 question with other figures or other people has the same windows. Windows are compared
 by hash join; then, for each place in a document where an item's windows line up, the
 slot values are held against each other: one benchmark value must always stand for the
-same document value. Windows with more than half slots carry too little text for that and
+same document value, and the other way round. Windows with more than half slots carry too little text for that and
 are hashed with their values, so that only the very same values match.
 """
 
@@ -24,6 +24,15 @@ UNITS = (
     "meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch|inches|yards?|grams?|kilograms?|pounds?|ounces?|tons?|liters?|litres?|gallons?|"
     "seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|degrees?"
 )
+#: Words that are no names though sentences begin with them.
+OPENERS = (
+    "The|A|An|This|That|These|Those|There|It|Its|He|She|They|We|You|I|My|Our|Your|His|Her|Their|In|On|At|By|To|Of|For|From|With|As|If|When|While|After|Before|Since|Until|Because|Although|"
+    "And|But|Or|So|Not|No|Yes|Is|Are|Was|Were|Do|Does|Did|Has|Have|Had|Can|Could|Will|Would|Should|Must|May|Let|What|Which|Who|Whom|Whose|Where|Why|How|Each|Every|Some|All|Any|Many|Most|"
+    "One|Two|Three|Find|Compute|Calculate|Determine|Solve|Write|Explain|Describe|Choose|Select|Given|Consider|Suppose|Question|Answer|Problem|Example|Note|"
+    "Der|Die|Das|Ein|Eine|Wie|Was|Wer|Le|La|Les|Un|Une|Que|Qui|El|Los|Las|Una"
+)
+#: Items with fewer tokens stand in too many texts: they are only found in texts that are the item.
+LEAST_TOKENS = 5
 #: Most benchmark windows that are broadcast (about 100 bytes each).
 BROADCAST_WINDOWS = 200_000
 
@@ -35,9 +44,10 @@ def _hold(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens, slots led by their marker."""
+    """Lower-case tokens, slots led by their marker. A capitalised word is a name, also where a
+    sentence begins, but for words that often begin one."""
     t = F.regexp_replace(text, f"[{NAME}-{UNIT}]", " ")
-    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},][ \t])", NAME)
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{OPENERS})(?![\p{{L}}\p{{M}}\p{{N}}]))", NAME)
     t = F.regexp_replace(t, r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", f"{NUMBER}$0")
     t = F.regexp_replace(t, rf"(?<=\p{{Nd}})[ \t]?(?=(?i:{UNITS})(?![\p{{L}}\p{{N}}]))", f" {UNIT}")
     return F.regexp_extract_all(F.lower(t), F.lit(rf"{NUMBER}\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|[{NAME}{UNIT}]?[\p{{L}}\p{{M}}\p{{N}}]+"), F.lit(0))
@@ -47,22 +57,25 @@ def is_slot(t: Column) -> Column:
     return (t >= NAME) & (t < END)
 
 
-def template_windows(df: DataFrame, keep: list[str], text: Column, width: int) -> DataFrame:
-    """keep.. , pos, h (hash of the window's template, with the values if more than half are
-    slots), slots (its marked values, or null)."""
+def template_windows(df: DataFrame, keep: list[str], text: Column, widths: list[int]) -> DataFrame:
+    """keep.. , n (tokens), w (width), pos, h (hash of the window's template, with the values if more
+    than half are slots), slots (its marked values, or null), for all widths at once."""
     tok = _hold(df, keep, tok=tokens(text))
     arrays = _hold(
         tok, keep, tok=F.col("tok"), th=F.transform("tok", lambda t: F.xxhash64(F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))), slotted=F.exists("tok", is_slot), n=F.size("tok")
-    ).where(F.col("n") >= width)
-    wins = F.transform(
-        F.sequence(F.lit(1), F.col("n") - (width - 1)),
-        lambda i: F.struct(F.xxhash64(F.slice("th", i, width)).alias("h"), F.when(F.col("slotted"), F.filter(F.slice("tok", i, width), is_slot)).alias("slots")),
-    )
-    rows = _hold(arrays, keep, wins=wins).select(*keep, F.posexplode("wins").alias("pos", "x")).select(*keep, "pos", "x.h", "x.slots")
-    return rows.withColumn("h", F.when(is_heavy("slots", width), F.xxhash64("h", "slots")).otherwise(F.col("h")))
+    ).where(F.col("n") >= min(widths))
+
+    def of(w: int) -> Column:
+        windows = F.greatest(F.col("n") - (w - 1), F.lit(0)) if w >= LEAST_TOKENS else (F.col("n") == w).cast("int")
+        at = F.slice(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), F.lit(1), windows)
+        return F.transform(at, lambda i: F.struct(F.lit(w).alias("w"), i.alias("pos"), F.xxhash64(F.lit(w), F.slice("th", i, w)).alias("h"), F.when(F.col("slotted"), F.filter(F.slice("tok", i, w), is_slot)).alias("slots")))
+
+    wins = F.concat(*[of(w) for w in widths]) if len(widths) > 1 else of(widths[0])
+    rows = _hold(arrays, [*keep, "n"], wins=wins).select(*keep, "n", F.inline("wins"))
+    return rows.withColumn("h", F.when(is_heavy("slots", F.col("w")), F.xxhash64("h", "slots")).otherwise(F.col("h")))
 
 
-def is_heavy(slots: str, width: int) -> Column:
+def is_heavy(slots: str, width: Column) -> Column:
     return 2 * F.coalesce(F.size(slots), F.lit(0)) > width
 
 
@@ -71,42 +84,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_w
 
     Columns: id, text_key (md5 of the text), item, windows (distinct template windows of
     the item found), item_windows, coverage, slots (slot values compared), consistency
-    (distinct benchmark values over distinct value pairs, 1 without slots), verbatim (all
-    slot values equal). A pair is returned when `min_windows` windows, or all of a shorter
-    item's, are found in places whose consistency is at least `consistency`. Windows with
-    more than half slots match only with equal values; an item is also found by all or
-    `min_windows` of its other windows alone. Items with fewer than `width`
-    tokens are compared as one window of their own length; items without tokens never
-    match. Null and empty texts match nothing; rows of equal id and text give one row.
+    (distinct values of the side that has fewer over distinct value pairs, 1 without slots),
+    verbatim (all slot values equal). A pair is returned when `min_windows` windows, or all of
+    a shorter item's, are found in places whose consistency is at least `consistency`. Windows
+    with more than half slots match only with equal values; an item is also found by all or
+    `min_windows` of its other windows alone. Items with fewer than `width` tokens are
+    compared as one window of their own length, those with fewer than LEAST_TOKENS only with
+    whole texts; items without tokens never match. Null and empty texts match nothing; rows
+    of equal id and text give one row; items of equal id are one item.
     """
     d = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("t"))
     b = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    lengths = [r.n for r in b.select(F.least(F.size(tokens(F.col("t"))), F.lit(width)).alias("n")).distinct().collect() if r.n > 0]
-    found = None
-    for w in sorted(lengths):
-        of = b.where(F.least(F.size(tokens(F.col("t"))), F.lit(width)) == w)
-        one = _matches(d, of, w, min_windows, consistency)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = _matches(d.limit(0), b.limit(0), width, min_windows, consistency)
-    return found.withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def _matches(d: DataFrame, b: DataFrame, width: int, min_windows: int, consistency: float) -> DataFrame:
-    items = template_windows(b, ["item"], F.col("t"), width)
-    items = materialize(items.select("item", F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots")))
-    text = ~is_heavy("bslots", width)
+    own = F.least(F.col("n"), F.lit(width))
+    widths = sorted(r.w for r in b.select(F.least(F.size(tokens(F.col("t"))), F.lit(width)).alias("w")).distinct().collect() if r.w > 0) or [width]
+    items = template_windows(b, ["item"], F.col("t"), widths).where(F.col("w") == own)
+    items = materialize(items.select("item", "w", F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots")))
+    text = ~is_heavy("bslots", F.col("w"))
     sizes = items.groupBy("item").agg(F.count_distinct("bpos").alias("item_windows"), F.count_distinct(F.when(text, F.col("bpos"))).alias("text_windows"))
     small = items.count() <= BROADCAST_WINDOWS
-    hits = template_windows(d, ["id", "text_key"], F.col("t"), width).join(F.broadcast(items) if small else items, "h")
+    windows = template_windows(d, ["id", "text_key"], F.col("t"), widths).drop("n")
+    hits = windows.join(F.broadcast(items) if small else items, ["h", "w"])
     values = F.when(F.col("bslots").isNotNull(), F.zip_with("bslots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
     pairs = lambda which: F.array_distinct(F.flatten(F.collect_set(F.when(which, values))))
+    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     # windows of equal values need no test of consistency, and have no part in it
     places = (
         hits.groupBy("id", "text_key", "item", (F.col("pos") - F.col("bpos")).alias("shift"))
         .agg(F.collect_set(F.when(text, F.col("bpos"))).alias("at"), F.collect_set(F.when(~text, F.col("bpos"))).alias("heavy_at"), pairs(text).alias("pairs"), pairs(~text).alias("equal"))
-        .withColumn("values", F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))))
-        .withColumn("share", F.when(F.size("pairs") > 0, F.col("values") / F.size("pairs")).otherwise(1.0))
+        .withColumn("share", F.when(F.size("pairs") > 0, F.least(distinct("b"), distinct("d")) / F.size("pairs")).otherwise(1.0))
     )
     holds = F.col("share") >= consistency
     places = places.where(holds | (F.size("heavy_at") > 0)).select(
@@ -127,7 +132,7 @@ def _matches(d: DataFrame, b: DataFrame, width: int, min_windows: int, consisten
         found.join(F.broadcast(sizes) if small else sizes, "item")
         .withColumn("windows", F.col("in_text") + F.col("heavy"))
         .where(enough("in_text", "text_windows") | enough("windows", "item_windows"))
-        .select("id", "text_key", "item", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "slots", "consistency", "verbatim")
+        .select(F.col("id").alias(id_col), "text_key", F.col("item").alias(item_col), "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "slots", "consistency", "verbatim")
     )
 
 

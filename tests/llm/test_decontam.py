@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import random
-import re
+from collections import defaultdict
+
+import regex
 
 from cohortlab.llm import decontam as dc
+from cohortlab.llm import queries
 
 random.seed(12)
 WORDS = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("a", "e", "io", "un", "arl", "ost", "ing")]
@@ -13,24 +16,105 @@ def prose(n):
     return " ".join(random.choice(WORDS) for _ in range(n))
 
 
-def brute(docs, bench, width=8, least=3):
-    """Pairs by all windows of plain lower-case words (no slots in these texts)."""
-    tok = lambda t: re.findall(r"\w+", (t or "").lower())
+def plain_tokens(text):
+    """(slot kind or '', lower-case value), told word by word."""
+    out, last_number = [], None
+    for m in regex.finditer(r"\p{Nd}+(?:[.,:/]\p{Nd}+)*|[\p{L}\p{M}\p{N}]+", text or ""):
+        w = m.group()
+        if regex.fullmatch(r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", w):
+            out.append(("number", w))
+            last_number = m.end()
+            continue
+        near = last_number is not None and regex.fullmatch(r"[ \t]?", text[last_number : m.start()])
+        if near and regex.fullmatch(f"(?i:{dc.UNITS})", w):
+            kind = "unit"
+        elif regex.match(r"\p{Lu}\p{Ll}", w) and w not in dc.OPENERS.split("|"):
+            kind = "name"
+        else:
+            kind = ""
+        out.append((kind, w.lower()))
+        last_number = None
+    return out
+
+
+def brute(docs, bench, width=8, least=3, consistency=0.75):
+    """Pairs by comparing every window of every document with every window of every item."""
     found = set()
-    for i, t in docs:
-        d = tok(t)
-        for j, b in bench:
-            w = tok(b)
-            k = min(width, len(w))
-            if not k:
+
+    def windows(words, k):
+        for x in range(len(words) - k + 1):
+            u = tuple(words[x : x + k])
+            dense = 2 * sum(bool(kind) for kind, _ in u) > k
+            yield x, u, (dense, u if dense else tuple((a, "" if a else w) for a, w in u))
+
+    of = []
+    for j, text in bench:
+        b = plain_tokens(text)
+        k, by = min(width, len(b)), defaultdict(list)
+        for y, v, key in windows(b, k) if k else ():
+            by[key].append((y, v))
+        of.append((j, len(b), k, by))
+    for i, text in docs:
+        d = plain_tokens(text)
+        own = {k: list(windows(d, k)) for k in {k for *_, k, _ in of} if k}
+        for j, _, k, by in of:
+            if not k or k < dc.LEAST_TOKENS and len(d) != k:
                 continue
-            have = {tuple(d[x : x + k]) for x in range(len(d) - k + 1)}
-            n = len(w) - k + 1
-            if sum(tuple(w[x : x + k]) in have for x in range(n)) >= min(least, n):
+            places = defaultdict(lambda: ([], []))
+            for x, u, key in own[k]:
+                for y, v in by.get(key, ()):
+                    places[x - y][key[0]].append((y, [(q, p) for (a, p), (_, q) in zip(u, v, strict=True) if a]))
+            light, dense = set(), set()
+            for some, dense_ in places.values():
+                pairs = {p for _, ps in some for p in ps}
+                if not pairs or min(len({p[0] for p in pairs}), len({p[1] for p in pairs})) >= consistency * len(pairs):
+                    light |= {y for y, _ in some}
+                dense |= {y for y, _ in dense_}
+            n, m = sum(map(len, by.values())), sum(len(v) for key, v in by.items() if not key[0])
+            if len(light) >= max(1, min(least, m)) or len(light) + len(dense) >= min(least, n):
                 found.add((i, j))
     return found
 
 
+def question(rng):
+    kinds = [lambda: rng.choice(["Mary", "Anna", "Peter", "Ida"]), lambda: str(rng.randint(1, 99)), lambda: f"{rng.randint(1, 9)} {rng.choice(['km', 'miles', 'kg'])}", *[lambda: rng.choice(WORDS)] * 5]
+    return [rng.choice(kinds)() for _ in range(rng.randint(6, 24))]
+
+
+def test_slots_against_brute_force(spark):
+    rng = random.Random(21)
+    items = [question(rng) for _ in range(25)]
+    bench = [(k, " ".join(x)) for k, x in enumerate(items)] + [(90, "word"), (91, "Mary 3 km"), (92, "two such words")]
+    docs = []
+    for i in range(200):
+        x = list(rng.choice(items))
+        names = {n: rng.choice(["Mary", "Olga", "Karl"]) for n in ("Mary", "Anna", "Peter", "Ida")}
+        change = rng.choice([0, 0.2, 1])
+        x = [names[w] if w in names and rng.random() < change else str(rng.randint(1, 99)) if w.isdigit() and rng.random() < change else w for w in x]
+        cut = rng.choice([0, 0, 3])
+        docs.append((i, " ".join([*question(rng), rng.choice([".", "", "The"]), *x[cut:], *question(rng)])))
+    docs += [(300, "word"), (301, "one word more"), (302, "Anna 4 miles"), (303, "Mary 3 km"), (304, "two such words")]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, bench)
+    assert {(300, 90), (303, 91), (304, 92)} <= {(r.doc_id, r.item_id) for r in got} and not [r for r in got if r.doc_id in (301, 302)]
+
+
+def test_names_where_a_sentence_begins_and_names_that_fall_together(spark):
+    item = "Mary sells rope to Paul and then Paul sells it on to Mary again today"
+    docs = {1: "Olga sells rope to Karl and then Karl sells it on to Olga again today", 2: "Olga sells rope to Olga and then Olga sells it on to Olga again today"}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in dc.contaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert sorted(got) == [1] and got[1].windows == got[1].item_windows
+
+
+def test_query(spark):
+    path = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    got = queries.op5_decontamination(spark, path).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, bench)
+
+
 def test_plain_passages_against_brute_force(spark):
     bench = [(k, prose(random.randint(9, 50))) for k in range(12)] + [(50, prose(5)), (51, None), (52, ""), (53, "...")]
     docs = []
