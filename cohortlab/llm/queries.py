@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import chat, decontam, fingerprint, language, licenses, lm, mixture, neardup, sharding, toxicity
-from cohortlab.llm.common import id_crc, table
+from cohortlab.llm.common import id_crc, materialize, table
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+    prints = materialize(fingerprint.fingerprint_edits(table(spark, sf_dir, "documents")), compression="zstd")
+    return fingerprint.near_classes(prints)
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
