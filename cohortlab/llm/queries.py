@@ -79,9 +79,79 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN yes THEN 1
 """
 
 
+def _crc32(text: str) -> str:
+    """SQL: crc32 of a text's UTF-8 bytes, byte after byte; the table's entry is the sum of those of its bits."""
+
+    def entry(c: int) -> int:
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        return c
+
+    step = "(c >> 8)"
+    for bit in range(8):
+        step = f"xor({step}, ((xor(c & 255, b) >> {bit}) & 1) * {entry(1 << bit)})"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+def _strength(counts: str, once: str, places: str) -> str:
+    """SQL: 10 ^ x where the chance of a new successor is once / places, found by halving.
+
+    counts: a list of structs (c, n)."""
+    new = f"list_sum(list_transform({counts}, lambda e: e.c * e.n * pow(10, x + s) / (e.c - 1 + pow(10, x + s)))) / list_sum(list_transform({counts}, lambda e: e.c * e.n))"
+    steps = ", ".join(f"{9 / 2**k!r}::DOUBLE" for k in range(1, 61))
+    x = f"list_reduce([-3.0::DOUBLE, {steps}], lambda x, s: CASE WHEN {new} < {once} / {places}::DOUBLE THEN x + s ELSE x END)"
+    return f"CASE WHEN {places} > 0 THEN pow(10, {x} + {9 / 2**61!r}) ELSE 1.0::DOUBLE END"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The end of a text is the empty word, its begin a space.
+OP7_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_crc32("coalesce(doc_id::VARCHAR, '')")} % 5 = 1 AS held,
+                  list_append(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ 	-]+'), '') AS w FROM documents),
+p AS (SELECT r, held, w[i] AS c, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS b, CASE WHEN i = 2 THEN ' ' WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT c, count(*) AS n FROM p WHERE NOT held GROUP BY c),
+c2 AS (SELECT b, c, count(*) AS n FROM p WHERE NOT held GROUP BY b, c),
+c3 AS (SELECT a, b, c, count(*) AS n FROM p WHERE NOT held AND a IS NOT NULL GROUP BY a, b, c),
+k1 AS (SELECT c AS b, n FROM c1 WHERE c <> '' UNION ALL SELECT ' ', n FROM c1 WHERE c = ''),
+cc AS (SELECT o, n >> low << low AS c, count(*) AS n FROM (SELECT *, greatest(floor(log2(n))::INT - 9, 0) AS low FROM (SELECT 1 AS o, n FROM c1 UNION ALL SELECT 2, n FROM c2 WHERE c <> '')) GROUP BY ALL),
+g AS (SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM c1) AS nn, (SELECT count(*) FROM c1) AS v, (SELECT count(*) FROM c1 WHERE n = 1) AS n1, (SELECT count(*) FROM c1 WHERE n = 2) AS n2,
+             (SELECT list({{'c': c, 'n': n}}) FROM cc WHERE o = 1) AS l1, (SELECT list({{'c': c, 'n': n}}) FROM cc WHERE o = 2) AS l2,
+             (SELECT count(*) FROM c2 WHERE n = 1) AS s2, (SELECT coalesce(sum(n >> greatest(floor(log2(n))::INT - 9, 0) << greatest(floor(log2(n))::INT - 9, 0)), 0)::BIGINT FROM c2) AS t2,
+             (SELECT count(*) FROM c3 WHERE n = 1) AS s3, (SELECT coalesce(sum(n >> greatest(floor(log2(n))::INT - 9, 0) << greatest(floor(log2(n))::INT - 9, 0)), 0)::BIGINT FROM c3) AS t3),
+m AS (SELECT nn, v, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2)::DOUBLE ELSE 0.5::DOUBLE END AS dd, {_strength("l1", "s2", "t2")} AS m2, {_strength("l2", "s3", "t3")} AS m3 FROM g),
+x AS (SELECT p.r, coalesce(c1.n, 0) AS x1, coalesce(c2.n, 0) AS x2, coalesce(c3.n, 0) AS x3, coalesce(k1.n, 0) AS h1, CASE WHEN p.a IS NULL THEN 0 ELSE coalesce(k2.n, 0) END AS h2
+      FROM p LEFT JOIN c1 USING (c) LEFT JOIN c2 ON p.b = c2.b AND p.c = c2.c LEFT JOIN c3 ON p.a = c3.a AND p.b = c3.b AND p.c = c3.c LEFT JOIN k1 ON p.b = k1.b LEFT JOIN c2 k2 ON p.a = k2.b AND p.b = k2.c),
+q1 AS (SELECT x.*, m.*, CASE WHEN x1 > 0 THEN (x1 - dd) / nn ELSE dd * v / nn END AS p1 FROM x, m),
+q2 AS (SELECT *, CASE WHEN h1 > 0 THEN (x2 + m2 * p1) / (h1 + m2) ELSE p1 END AS p2 FROM q1),
+q3 AS (SELECT r, log10((x1 + 0.5::DOUBLE) / (nn + 0.5::DOUBLE * (v + 1))) AS base, x1, nn, log10(CASE WHEN h2 > 0 THEN (x3 + m3 * p2) / (h2 + m3) ELSE p2 END) AS s FROM q2)
+SELECT doc_id, held AS held_out, n_tokens, n_known, base_score, score, nn AS train_tokens
+FROM d JOIN (SELECT r, count(*) AS n_tokens, count(*) FILTER (x1 > 0) AS n_known, sum(base) AS base_score, sum(s) AS score, any_value(nn) AS nn FROM q3 GROUP BY r) USING (r)
+"""
+
+_ESCAPED = rf"[<\[]{chat.ESCAPE}*{chat.REST}".replace("'", "''")
+OP9_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+o AS (SELECT *, substr(sha256(role || chr(10) || text), 1, 16) AS tie, len(regexp_extract_all(role, '{_ESCAPED}')) + len(regexp_extract_all(text, '{_ESCAPED}')) AS escapes FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, tie)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, tie) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({sum(map(len, chat.CONTROL))} + length(role) + length(text) + escapes)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce('0' || source, '1') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc32("coalesce(text, '')")} AS crc,
+                  ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(text, '')), 1, 13))::BIGINT AS h FROM documents),
+f AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY h, doc_id NULLS FIRST, crc, size) - 1 + (('0x' || substr(md5('0|' || k), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / count(*) OVER (PARTITION BY k) AS frac FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, k, h, doc_id NULLS FIRST, crc, size) - 1 AS pos, count(*) OVER () AS n FROM f)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, (pos * 8 // n)::INT AS shard, (pos - ((pos * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM p
+"""
+
+
 def queries() -> dict:
     return {"op1_neardup": op1_neardup, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_decontamination": op5_decontamination, "op6_fingerprint": op6_fingerprint, "op7_lm": op7_lm, "op8_mixture": op8_mixture, "op9_chat": op9_chat, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixture": OP8_SQL}
+    return {"op7_lm": OP7_SQL, "op8_mixture": OP8_SQL, "op9_chat": OP9_SQL, "op10_sharding": OP10_SQL}
