@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions import columns as C
+from cohortlab.operators.cohorts import regime_order
 from cohortlab.operators.manifest import in_first
 
 
@@ -66,3 +67,8 @@ def many_cases(pred: DataFrame) -> DataFrame:
     roles |= {"additional_borderline": (F.col("regime") == "O", "distance")}
     out = _resolve(["regime"], _pools(["regime"], pred, roles, 6), list(roles))
     return out.withColumnsRenamed({"role": "selection_role", "prediction": "predicted"})
+
+
+def preview(cases: DataFrame, n: int = 4) -> DataFrame:
+    """The first cases, in the order of regimes, roles and samples."""
+    return cases.orderBy(regime_order(), "selection_role", "sample_id").limit(n)

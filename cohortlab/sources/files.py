@@ -28,6 +28,19 @@ def discover_images(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
+def dataset_root(spark: SparkSession, root: str) -> str:
+    """`root`, or the folder `images` below it: the one that has both split folders. Looked up
+    through Spark's file systems, so that the root may be in any store."""
+    jvm = spark.sparkContext._jvm
+    paths = [root.rstrip("/"), root.rstrip("/") + "/images"]
+    for path in paths:
+        found = [jvm.org.apache.hadoop.fs.Path(f"{path}/{split}") for split in ("training", "testing")]
+        store = found[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if all(store.exists(p) and store.getFileStatus(p).isDirectory() for p in found):
+            return path
+    raise ConstraintViolation(f"no training and testing folders in {' or '.join(paths)}")
+
+
 def content_digests(spark: SparkSession, root: str) -> DataFrame:
     """(path, sha256) of every file's bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.sha2("content", 256).alias("sha256"))
@@ -94,6 +107,19 @@ def to_document(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def identity(df: DataFrame) -> DataFrame:
+    """Adds `identity`, the sha256 of each row as JSON with its fields in order of name."""
+    return df.withColumn("identity", F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256))
+
+
+def require_rows(df: DataFrame, n: int, what: str = "table") -> DataFrame:
+    """`df`, after checking that it has n rows."""
+    found = df.limit(n + 1).count()
+    if found != n:
+        raise ConstraintViolation(f"{what}: {'more' if found > n else found} rows instead of {n}")
+    return df
+
+
 def write_document(df: DataFrame, path: str) -> None:
     to_document(df).coalesce(1).write.mode("overwrite").text(path)
 

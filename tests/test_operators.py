@@ -324,3 +324,141 @@ def test_bootstraps_take_5000_resamples_of_every_regime(spark):
         assert {r.regime: r.point_macro_f1 for r in rows} == regimes
         assert all(r.n_resamples == 5000 and r.ci_lower <= r.bootstrap_mean <= r.ci_upper for r in rows)
     assert known["paired_bootstrap"](spark, d).first().n_resamples == 5000
+
+
+def test_refusals_name_what_is_wrong(spark, frames):
+    from pyspark.sql import functions as F
+
+    few = {"T": 2, "ST": 1, "progressive": 3}
+    for regime, split in (("T", cohorts.split_t), ("ST", cohorts.split_st), ("progressive", temporal.checkpoints), ("T", cohorts.all_splits)):
+        short = frames.union(spark.createDataFrame(source("flip", "0099", few[regime]), COLUMNS))
+        with pytest.raises(Exception, match=f"{regime}: source flip::0099"):
+            split(short).collect()
+    odd = frames.withColumn("supplied_split", F.when(F.col("sample_id") == "f0000_0001", "other").otherwise(F.col("supplied_split")))
+    for split in (cohorts.split_o, cohorts.all_splits):
+        with pytest.raises(Exception, match="supplied split of f0000_0001"):
+            split(odd).collect()
+    with pytest.raises(constraints.ConstraintViolation, match="f0000_0001"):
+        constraints.accepted(odd.select("sample_id", "supplied_split"), F.col("supplied_split") != "other", "odd rows")
+    pred = frames.withColumn("prediction", F.lit(1))
+    with pytest.raises(constraints.ConstraintViolation):
+        resample.paired_bootstrap(pred, pred.where("frame_number > 1"), reps=5)
+
+
+def test_rules_of_a_study_see_breaches(spark, frames):
+    from pyspark.sql import functions as F
+
+    points = temporal.checkpoints(frames)
+    broken = lambda p: {(r.regime, r.rule) for r in temporal.rules(p).where("violations > 0").collect()}
+    assert broken(points) == set()
+    late = points.where("regime = 'ST' AND part = 'future'").withColumn("part", F.lit("train"))
+    assert broken(points.union(late)) == {("ST", "samples_disjoint"), ("ST", "sources_disjoint")}
+    assert ("T", "both_classes") in broken(points.where("part <> 'future' OR label = 'flip'"))
+    assert broken(points.where("part <> 'future'")) == {(r, k) for r in ("T", "ST") for k in ("rows_in_every_part", "both_classes")}
+    twice = frames.withColumn("prob_flip", F.lit(0.5)).select("sample_id", "prob_flip")
+    assert temporal.enriched(twice, points.where("part = 'future'")).count() == points.where("part = 'future'").count()
+    with pytest.raises(Exception, match="not one to one"):
+        temporal.enriched(twice.union(twice.limit(1)), points.where("part = 'future'")).collect()
+
+
+def test_scores_that_are_no_numbers_never_win(spark):
+    nan, inf = float("nan"), float("inf")
+    trials = spark.createDataFrame([(1, 1, "finished", 0.5), (1, 2, "finished", nan), (1, 3, "finished", inf), (1, 4, "finished", None)], "sweep int, attempt int, status string, f1 double")
+    assert [r.qualifies for r in training.qualifying(trials).orderBy("attempt").collect()] == [True, False, False, False]
+    assert training.best_trial(trials.where("attempt <> 3")).first().attempt == 1
+    scores = spark.createDataFrame([(1, 1, 0.2), (1, 2, nan), (1, 3, 0.3)], "run int, epoch int, f1 double")
+    assert [r.improved for r in training.improvements(scores).orderBy("epoch").collect()] == [True, False, True]
+    assert training.best_epoch(scores).first().best_epoch == 3
+
+
+def test_log_table_keeps_the_last_attempt(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "run int, epoch int, loss double, logged_at long"
+    training.append_log(spark.createDataFrame([(1, 1, 0.5, 1), (1, 2, 0.4, 2)], schema), path)
+    training.append_log(spark.createDataFrame([(1, 2, 0.3, 5)], schema), path)
+    assert training.read_log(spark, path).count() == 3
+    assert sorted((r.epoch, r.loss) for r in training.read_log(spark, path, "run", "epoch").collect()) == [(1, 0.5), (2, 0.3)]
+
+
+def test_report_rules(spark):
+    from cohortlab.operators import reports
+
+    def row(k, **other):
+        cells = {"run_number": k, "regime": "T" if k <= 4 else "ST", "coverage_percent": (25, 50, 75, 90)[(k - 1) % 4], "n_train": 10, "n_validation": 5, "n_future": 85, "n_future_sources": 9 if k <= 4 else 3}
+        cells |= {c: 0.5 for c in ("future_macro_f1", "future_flip_recall", "matched_macro_f1", "matched_flip_recall")} | {"run_url": f"https://x.org/{k}"}
+        return {c: str(v) for c, v in (cells | other).items()}
+
+    def broken(rows, lines=8):
+        evidence = spark.createDataFrame([(f"see https://x.org/{k} .",) for k in range(1, lines + 1)], "line string")
+        got = reports.report_rules(spark.createDataFrame(rows), evidence, url_prefix="https://x.org/", sources={"T": 9, "ST": 3}, rows_of_t=100)
+        return {r.rule for r in got.collect() if r.violations}
+
+    good = [row(k) for k in range(1, 9)]
+    assert broken(good) == set()
+    assert broken(good[:7]) == {"eight_runs"}
+    assert broken([*good[:7], row(7)]) == {"eight_runs"}
+    assert broken(good, lines=7) == {"address_in_evidence"}
+    for cell, value, rule in (("regime", "ST", "run_order"), ("coverage_percent", "30", "coverage_cycle"), ("n_future_sources", "8", "future_sources"), ("n_train", "x", "accounting"), ("matched_macro_f1", "1.2", "shares")):
+        assert rule in broken([row(1, **{cell: value}), *good[1:]])
+    assert broken([row(1, run_url="http://x.org/1"), *good[1:]]) >= {"address"}
+
+
+def test_class_activation_against_loops(spark):
+    from cohortlab.operators import maps
+
+    rng = np.random.default_rng(3)
+    width, rows, size = 3, 2, 5
+    m, g = rng.normal(size=(4, rows * width)), rng.normal(size=(4, rows * width))
+    df = spark.createDataFrame([(1, m.tolist(), g.tolist()), (2, [[0.0] * 6], [[1.0] * 6]), (3, [], [])], "k int, m array<array<double>>, g array<array<double>>")
+    got = {r.k: r.heat for r in maps.class_activation(df, "m", "g", ["k"], width, size).collect()}
+    s = np.maximum((g.mean(1)[:, None] * m).sum(0), 0).reshape(rows, width)
+    want = np.zeros((size, size))
+    for y in range(size):
+        for x in range(size):
+            v, u = max((y + 0.5) * rows / size - 0.5, 0), max((x + 0.5) * width / size - 0.5, 0)
+            a, b = int(v), int(u)
+            c, d = min(a + 1, rows - 1), min(b + 1, width - 1)
+            want[y, x] = (s[a, b] * (1 - u + b) + s[a, d] * (u - b)) * (1 - v + a) + (s[c, b] * (1 - u + b) + s[c, d] * (u - b)) * (v - a)
+    want = (want - want.min()) / (want.max() - want.min() + 1e-8)
+    assert np.allclose(got[1], want.ravel()) and got[2] == [0.0] * 25 and 3 not in got
+    laid = maps.overlay(spark.createDataFrame([([0.0, 255.0], [1.0, 1.0])], "a array<double>, b array<double>"), "a", "b").first().overlay
+    assert laid == pytest.approx([0.55, 1.0])
+
+
+def test_studies_go_on_behind_their_last_step(spark, frames, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cohortlab.plans import study
+
+    features = frames.select("sample_id", F.array(F.col("target") + F.col("frame_number") / 100.0, F.lit(1.0)).alias("x"))
+    folder = str(tmp_path / "study")
+    out = study.progressive(frames, features, "x", folder, coverages=(50, 90))
+    assert {(r.regime, r.coverage_percent) for r in out["overall"].collect()} == {(r, c) for r in ("T", "ST") for c in (50, 90)}
+    assert all(r.future_macro_f1 > 0.9 for r in out["overall"].collect())
+    again = study.progressive(frames, features, "x", folder, coverages=(50, 90))
+    assert again["predictions"].count() == out["predictions"].count()
+    with pytest.raises(constraints.ConstraintViolation):
+        study.progressive(frames, features, "x", folder, coverages=(50, 90), decay=0.5)
+    rows = study.regimes(cohorts.all_splits(frames), features, "x", str(tmp_path / "regimes")).collect()
+    assert {r.regime for r in rows} == {"O", "S", "T", "ST"}
+
+
+def test_own_scorer_streams_over_batches(spark):
+    df = spark.range(2500).withColumnRenamed("id", "k")
+    got = models.score_with(df, lambda rows: (rows["k"] % 10) / 10, batch=100)
+    assert got.where("prediction = 1").count() == 1250
+    with pytest.raises(Exception, match="one probability a row"):
+        models.score_with(df, lambda rows: rows["k"] * 1.0).collect()
+
+
+def test_roots_identities_and_counts(spark, tmp_path):
+    for split in ("training", "testing"):
+        (tmp_path / "images" / split).mkdir(parents=True)
+    assert files.dataset_root(spark, str(tmp_path)) == f"{tmp_path}/images" == files.dataset_root(spark, f"{tmp_path}/images")
+    with pytest.raises(constraints.ConstraintViolation):
+        files.dataset_root(spark, str(tmp_path / "images" / "training"))
+    a, b = spark.createDataFrame([(1, "x")], "n int, s string"), spark.createDataFrame([("x", 1)], "s string, n int")
+    assert files.identity(a).first().identity == files.identity(b).first().identity
+    assert files.require_rows(a, 1).count() == 1
+    for n in (0, 2):
+        with pytest.raises(constraints.ConstraintViolation):
+            files.require_rows(a, n)
