@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions import columns as C
 from cohortlab.operators.cohorts import regime_order
 from cohortlab.operators.manifest import in_first
+from cohortlab.operators.ranking import median
 
 
 def profile(pred: DataFrame, *by: str, high: float = 0.9) -> DataFrame:
@@ -18,9 +19,12 @@ def profile(pred: DataFrame, *by: str, high: float = 0.9) -> DataFrame:
 
 
 def extended(pred: DataFrame, *by: str) -> DataFrame:
+    """Of the errors: which kind prevails, and how sure the model was of them."""
     e = pred.where(F.col("prediction") != F.col("target")).withColumn("c", C.confidence())
-    s = e.groupBy(*by).agg(F.count_if(F.col("target") == 1).alias("fn"), F.count_if(F.col("target") == 0).alias("fp"), F.avg("c").alias("m"), F.percentile("c", 0.5).alias("q"))
-    return s.select(*by, F.when(F.col("fn") >= F.col("fp"), "false_negative").otherwise("false_positive").alias("dominant_error_type"), F.round("m", 6).alias("mean_error_confidence"), F.round("q", 6).alias("median_error_confidence"), F.round(1 - F.col("m"), 6).alias("mean_error_true_class_probability"))
+    s = e.groupBy(*by).agg(F.count_if(F.col("target") == 1).alias("fn"), F.count_if(F.col("target") == 0).alias("fp"), F.avg("c").alias("m"))
+    q = median(e, "c", *by)
+    s = s.join(q, list(by)) if by else s.join(F.broadcast(q))  # one row
+    return s.select(*by, F.when(F.col("fn") >= F.col("fp"), "false_negative").otherwise("false_positive").alias("dominant_error_type"), F.round("m", 6).alias("mean_error_confidence"), F.round("median", 6).alias("median_error_confidence"), F.round(1 - F.col("m"), 6).alias("mean_error_true_class_probability"))
 
 
 def _pools(by: list[str], pred: DataFrame, roles: dict[str, tuple[Column, str]], depth: int) -> DataFrame:

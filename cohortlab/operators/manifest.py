@@ -87,12 +87,16 @@ def histogram(frames: DataFrame, bins: int = 20) -> DataFrame:
     return per.join(F.broadcast(span)).groupBy(at.alias("bin")).agg(F.count("*").alias("sources"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-def fingerprint(splits: DataFrame, digits: int = 3) -> DataFrame:
-    """Per regime, sha256 over the sorted rows: of blocks by id first, then of the blocks,
-    so that no task holds all rows."""
-    row = F.concat_ws("|", "sample_id", "source_key", "role")
-    blocks = splits.groupBy("regime", F.substring("sample_id", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n").cast("binary"), 256).alias("d"))
-    return blocks.groupBy("regime").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "b", "d"))), "\n").cast("binary"), 256).alias("sha256"))
+def fingerprint(splits: DataFrame, levels: int = 1) -> DataFrame:
+    """Per regime, sha256 over the sorted rows: of blocks by three digits of the id for each of
+    `levels`, then of the blocks of each coarser level, so that no task holds all rows. One
+    level is for some ten million rows, two for 10^10; the digest depends on the number."""
+    digest = lambda x: F.sha2(F.array_join(F.sort_array(F.collect_list(x)), "\n").cast("binary"), 256)
+    rows = splits.select("regime", F.substring("sample_id", 1, 3 * levels).alias("b"), F.concat_ws("|", "sample_id", "source_key", "role").alias("x"))
+    for level in range(levels - 1, -1, -1):
+        blocks = rows.groupBy("regime", "b").agg(digest("x").alias("d"))
+        rows = blocks.select("regime", F.substring("b", 1, 3 * level).alias("b"), F.concat_ws(":", "b", "d").alias("x"))
+    return rows.groupBy("regime").agg(digest("x").alias("sha256"))
 
 
 def first_per_label(frames: DataFrame) -> DataFrame:

@@ -46,3 +46,19 @@ def score_totals(df: DataFrame, keys: list[str], blocks: int = 1024) -> DataFram
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(F.col("prob_flip").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return ties.join(starts, [*keys, "_block"]).select(*keys, "prob_flip", "tp", "fp", (F.col("_stp") + F.sum("tp").over(inside)).alias("ctp"), (F.col("_sfp") + F.sum("fp").over(inside)).alias("cfp"), "pos", "neg")
+
+
+def median(df: DataFrame, value: str, *keys: str, blocks: int = 1024) -> DataFrame:
+    """(keys.., median) of a value between 0 and 1: counts of blocks of the value tell in which the
+    middle lies, so that no task holds all values of a group."""
+    ties = df.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col(value) * blocks))
+    by_block = ties.groupBy(*keys, "_block").agg(F.sum("_n").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_block.select(*keys, "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_all"))
+    low, high = F.expr("(_all - 1) div 2"), F.expr("_all div 2")
+    held = starts.withColumn("_end", F.lead("_start", 1).over(Window.partitionBy(*keys).orderBy("_block")))
+    held = held.where((F.col("_start") <= high) & (F.coalesce("_end", "_all") > low))  # the one or two blocks of the middle
+    inside = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ties.join(held.select(*keys, "_block", "_start", "_all"), [*keys, "_block"]).withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
+    at = lambda k: F.max(F.when((k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_n")), F.col(value)))
+    return rows.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))

@@ -462,3 +462,16 @@ def test_roots_identities_and_counts(spark, tmp_path):
     for n in (0, 2):
         with pytest.raises(constraints.ConstraintViolation):
             files.require_rows(a, n)
+
+
+def test_median_by_blocks_equals_a_sort(spark):
+    rows = [("a" if random.random() < 0.7 else "b", round(random.random(), 2)) for _ in range(301)] + [("one", 0.25), ("two", 1.0), ("two", 0.0)]
+    got = {r.g: r.median for r in ranking.median(spark.createDataFrame(rows, "g string, v double"), "v", "g", blocks=7).collect()}
+    assert got == {g: pytest.approx(float(np.median([v for k, v in rows if k == g]))) for g in ("a", "b", "one", "two")}
+
+
+def test_fingerprints_of_more_levels(spark, frames):
+    split = cohorts.all_splits(frames)
+    one, two = ({r.regime: r.sha256 for r in manifest.fingerprint(s, levels=n).collect()} for s, n in ((split, 1), (split.repartition(5), 2)))
+    assert len(one) == len(two) == 4 and len(set(one.values()) | set(two.values())) == 8
+    assert two == {r.regime: r.sha256 for r in manifest.fingerprint(split, levels=2).collect()}
