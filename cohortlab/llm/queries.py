@@ -108,7 +108,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The end of a text is the empty word, its begin a space.
 OP7_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_crc32("coalesce(doc_id::VARCHAR, '')")} % 5 = 1 AS held,
-                  list_append(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ 	-]+'), '') AS w FROM documents),
+                  list_append(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ 	-
+]+'), '') AS w FROM documents),
 p AS (SELECT r, held, w[i] AS c, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS b, CASE WHEN i = 2 THEN ' ' WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
 c1 AS (SELECT c, count(*) AS n FROM p WHERE NOT held GROUP BY c),
 c2 AS (SELECT b, c, count(*) AS n FROM p WHERE NOT held GROUP BY b, c),
@@ -129,6 +130,38 @@ SELECT doc_id, held AS held_out, n_tokens, n_known, base_score, score, nn AS tra
 FROM d JOIN (SELECT r, count(*) AS n_tokens, count(*) FILTER (x1 > 0) AS n_known, sum(base) AS base_score, sum(s) AS score, any_value(nn) AS nn FROM q3 GROUP BY r) USING (r)
 """
 
+_NUMBER = r"^\p{Nd}"
+OP5_SQL = rf"""
+WITH u AS (SELECT 0 AS side, row_number() OVER () AS r, id, text FROM (SELECT DISTINCT doc_id AS id, text FROM documents WHERE text IS NOT NULL)
+           UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark WHERE text IS NOT NULL),
+y AS (SELECT side, r, unnest(p) AS s, generate_subscripts(p, 1) AS i
+      FROM (SELECT side, r, regexp_extract_all(regexp_replace(text, '[{decontam.NAME}-{decontam.UNIT}]', ' ', 'g'), '\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|[\p{{L}}\p{{M}}\p{{Nl}}\p{{No}}]+|[^\p{{L}}\p{{M}}\p{{N}}]+') AS p FROM u)),
+z AS (SELECT *, coalesce(regexp_matches(lag(s) OVER o, '{_NUMBER}'), false) AS after_number, coalesce(lag(s) OVER o IN (' ', chr(9)) AND regexp_matches(lag(s, 2) OVER o, '{_NUMBER}'), false) AS near_number,
+             coalesce(regexp_matches(lead(s) OVER o, '{_NUMBER}'), false) AS before_number FROM y WINDOW o AS (PARTITION BY side, r ORDER BY i)),
+k AS (SELECT side, r, i, lower(s) AS v, CASE WHEN regexp_matches(s, '{_NUMBER}') THEN 'n'
+        WHEN NOT after_number AND regexp_matches(s, '^\p{{Lu}}\p{{Ll}}') AND (before_number OR NOT regexp_full_match(s, '{decontam.OPENERS}')) THEN 'm'
+        WHEN (after_number OR near_number) AND NOT before_number AND regexp_full_match(s, '(?i:{decontam.UNITS})') THEN 'u' ELSE '' END AS kind FROM z WHERE regexp_matches(s, '^[\p{{L}}\p{{M}}\p{{N}}]')),
+w AS (SELECT side, r, list(v ORDER BY i) AS v, list(kind ORDER BY i) AS kd, list(CASE WHEN kind = '' THEN v ELSE '#' || kind END ORDER BY i) AS t FROM k GROUP BY side, r),
+b0 AS (SELECT u.id AS item, w.*, least(len(t), 8) AS n FROM w JOIN u USING (side, r) WHERE side = 1),
+b1 AS (SELECT item, n, bpos, kd[bpos : bpos + n - 1] AS kd, v[bpos : bpos + n - 1] AS bv, t[bpos : bpos + n - 1] AS t FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS bpos FROM b0)),
+b AS (SELECT *, 2 * len(list_filter(kd, lambda x: x <> '')) > n AS heavy, array_to_string(t, ' ') || CASE WHEN 2 * len(list_filter(kd, lambda x: x <> '')) > n THEN '|' || array_to_string(bv, ' ') ELSE '' END AS h FROM b1),
+d1 AS (SELECT r, n, pos, kd[pos : pos + n - 1] AS kd, v[pos : pos + n - 1] AS dv, t[pos : pos + n - 1] AS t
+       FROM (SELECT w.*, n, unnest(range(1, len(t) - n + 2)) AS pos FROM w, (SELECT DISTINCT n FROM b0) WHERE side = 0 AND len(t) >= n AND (n >= {decontam.LEAST_TOKENS} OR len(t) = n))),
+d AS (SELECT *, array_to_string(t, ' ') || CASE WHEN 2 * len(list_filter(kd, lambda x: x <> '')) > n THEN '|' || array_to_string(dv, ' ') ELSE '' END AS h FROM d1),
+hits AS (SELECT d.r, item, pos - bpos AS shift, bpos, heavy, list_transform(list_filter(range(1, n + 1), lambda i: kd[i] <> ''), lambda i: {{'b': bv[i], 'd': dv[i]}}) AS ps
+         FROM (SELECT d.r, d.pos, d.dv, b.* FROM d JOIN b ON d.h = b.h AND d.n = b.n) d),
+pl AS (SELECT r, item, shift, coalesce(list(DISTINCT bpos) FILTER (NOT heavy), []) AS lat, coalesce(list(DISTINCT bpos) FILTER (heavy), []) AS hat,
+              coalesce(list_distinct(flatten(list(ps) FILTER (NOT heavy))), []) AS pairs, coalesce(list_distinct(flatten(list(ps) FILTER (heavy))), []) AS eq FROM hits GROUP BY ALL),
+sh AS (SELECT *, CASE WHEN len(pairs) > 0 THEN least(len(list_distinct(list_transform(pairs, lambda e: e.b))), len(list_distinct(list_transform(pairs, lambda e: e.d)))) / len(pairs)::DOUBLE ELSE 1.0::DOUBLE END AS share FROM pl),
+ok AS (SELECT r, item, hat, CASE WHEN share >= 0.75 THEN lat ELSE [] END AS lat, CASE WHEN share >= 0.75 THEN list_distinct(list_concat(pairs, eq)) ELSE eq END AS pairs, CASE WHEN share >= 0.75 THEN share ELSE 1.0::DOUBLE END AS share
+       FROM sh WHERE share >= 0.75 OR len(hat) > 0),
+f AS (SELECT r, item, len(list_distinct(flatten(list(lat)))) AS in_text, len(list_distinct(flatten(list(hat)))) AS dense, sum(len(pairs))::BIGINT AS slots, min(share) AS consistency,
+             bool_and(len(list_filter(pairs, lambda e: e.b <> e.d)) = 0) AS verbatim FROM ok GROUP BY r, item),
+sz AS (SELECT item, count(DISTINCT bpos) AS item_windows, count(DISTINCT bpos) FILTER (NOT heavy) AS text_windows FROM b GROUP BY item)
+SELECT u.id AS doc_id, item AS item_id, in_text + dense AS windows, item_windows, (in_text + dense) / item_windows::DOUBLE AS coverage, slots, consistency, verbatim
+FROM f JOIN sz USING (item) JOIN u ON u.side = 0 AND u.r = f.r WHERE in_text >= greatest(least(3, text_windows), 1) OR in_text + dense >= greatest(least(3, item_windows), 1)
+"""
+
 _ESCAPED = rf"[<\[]{chat.ESCAPE}*{chat.REST}".replace("'", "''")
 OP9_SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -154,4 +187,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lm": OP7_SQL, "op8_mixture": OP8_SQL, "op9_chat": OP9_SQL, "op10_sharding": OP10_SQL}
+    return {"op5_decontamination": OP5_SQL, "op7_lm": OP7_SQL, "op8_mixture": OP8_SQL, "op9_chat": OP9_SQL, "op10_sharding": OP10_SQL}
