@@ -51,6 +51,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
 
 
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with header, every cell as it stands in the file, as text: for exact comparisons."""
+    return spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", escape='"', multiLine=True)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet, complete or not at all: the committer publishes files only at the end."""
     df.write.mode("overwrite").parquet(path)

@@ -456,6 +456,8 @@ def test_roots_identities_and_counts(spark, tmp_path):
     assert files.dataset_root(spark, str(tmp_path)) == f"{tmp_path}/images" == files.dataset_root(spark, f"{tmp_path}/images")
     with pytest.raises(constraints.ConstraintViolation):
         files.dataset_root(spark, str(tmp_path / "images" / "training"))
+    (tmp_path / "cells.csv").write_text('id,note,x\n007,"a, ""b""",0.50\n')
+    assert [tuple(r) for r in files.read_cells(spark, str(tmp_path / "cells.csv")).collect()] == [("007", 'a, "b"', "0.50")]
     a, b = spark.createDataFrame([(1, "x")], "n int, s string"), spark.createDataFrame([("x", 1)], "s string, n int")
     assert files.identity(a).first().identity == files.identity(b).first().identity
     assert files.require_rows(a, 1).count() == 1
