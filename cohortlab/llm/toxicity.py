@@ -344,8 +344,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 800, mined: in
     as many clean ones.
 
     The first fit reads all windows of five in six toxic texts and of every fourth clean text.
-    Then all windows of a half of the clean texts that the network takes for toxic are added,
-    and it is fitted on. The other texts calibrate the score (with fewer than 100 toxic
+    Then all windows of another quarter of the clean texts that the network takes for toxic
+    are added, and it is fitted on; and so for a third quarter. The other texts calibrate the score (with fewer than 100 toxic
     labels, all toxic texts both teach and calibrate). Which text does what is told by hashes
     of its id. Labels of one id that differ teach nothing.
     """
@@ -363,17 +363,18 @@ def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 800, mined: in
     schema = f"id {kind}, y int, windows array<string>"
     order = lambda r: (str(r.id), r.y, r.windows)
     bags = [(r.windows, r.y) for r in sorted(map_batches(first, cut, schema, slice_rows=256).collect(), key=order)]
-    net = fit(bags)
+    net = fit(bags, epochs=5)
     if net is None:
         return None
-    held = docs.sparkSession.sparkContext.broadcast(net)
+    for some in ("h BETWEEN 3 AND 5", "h BETWEEN 6 AND 8"):
+        held = docs.sparkSession.sparkContext.broadcast(net)
 
-    def mine(cols: dict[str, list]) -> dict[str, object]:
-        return {"id": cols["id"], "y": cols["y"], "windows": [held.value.suspect_windows(t) for t in cols["text"]]}
+        def mine(cols: dict[str, list]) -> dict[str, object]:
+            return {"id": cols["id"], "y": cols["y"], "windows": [held.value.suspect_windows(t) for t in cols["text"]]}  # noqa: B023
 
-    hard = map_batches(rows.where("y = 0 AND h BETWEEN 3 AND 8"), mine, schema, slice_rows=256).where(F.size("windows") > 0).collect()
-    bags += [(r.windows, 0) for r in sorted(hard, key=order)]
-    net = fit(bags, start=net, epochs=3, rate=0.005)
+        hard = map_batches(rows.where(f"y = 0 AND {some}"), mine, schema, slice_rows=256).where(F.size("windows") > 0).collect()
+        bags += [(r.windows, 0) for r in sorted(hard, key=order)]
+        net = fit(bags, start=net, epochs=3, rate=0.005)
     held = docs.sparkSession.sparkContext.broadcast(net)
     rest = rows.where("y = 1 AND h <= 1 OR y = 0 AND h > 8")
     scored = map_batches(rest, lambda cols: {"x": held.value.text_logits(cols["text"]), "y": cols["y"]}, "x double, y int", slice_rows=256).collect()
