@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -432,28 +433,80 @@ def stand_in_model(spark, d):
     return models.score(rows.where(held), model, "embedding").select("vec_id", "target", F.round("prob_flip", 6).alias("prob_flip"), "prediction")
 
 
-ARCHIVE = f'{files.SHEET_MARK}: 1 / 1 TABS>\nTAB NAME: 16_x.csv>index,regime,finding,point\n0,O,"near, ceiling",0.994969\n1,S,lower,0.958387\n'
-PLAIN = "index,regime,finding,point\n2,T,late,0.90914\n"
-#: A small report table, and the same as measured with two cells changed.
-RUNS = ["| run | regime | n_train | n_future | macro_f1 |", "|---:|---|---:|---:|---:|", "| 1 | T | 579 | 2,291 | 0.739814 |", "| 2 | T | 1,208 | 1,510 | 0.707684 |", "| 3 | ST | 460 | 467 | 66.2% |", "| total | | 2,247 | | |"]
+#: The form of an archived export, and a small report table and the same as
+#: measured, with two cells changed.
+ARCHIVE = f'{files.SHEET_MARK}: 1 / 1 TABS>\nTAB NAME: 16_x.csv>index,regime,finding,point\n0,O,"near, ceiling",0.994969\r\n\n1,S,"lower ""than""",0.958387\n'
+PLAIN = "index,regime,finding,point\n2,T,a > b,0.90914\n3,ST,,\n"
+RUNS = ["| run | regime | n_train | n_future | macro_f1 |", "|---:|---|---:|---:|---:|", "| 1 | T | 579 | 2,291 | 0.739814 |", "| 2 | T | 1,208 | 1,510 | 0.707684 |", "| 3 | ST | 460 | 467 | 66.2% |", "| total | | 2,247 | | |", "no table | 4 | x |", "| 9 | T | 1 | 1 | 1 |"]
 COLUMNS = ["run", "regime", "n_train", "n_future", "macro_f1"]
 
 
+def _written(spark: SparkSession, texts: list[str]) -> str:
+    """A folder with a file a text."""
+    folder = files.scratch(spark)
+    for k, text in enumerate(texts):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{folder}/{k}")
+    return folder
+
+
 @query
 def archive_read(spark, d):
-    return files.read_archived(spark.createDataFrame([(ARCHIVE,), (PLAIN,)], "text string"), "index int, regime string, finding string, point double")
+    return files.read_archived_file(spark, _written(spark, [ARCHIVE, PLAIN]) + "/*", "index int, regime string, finding string, point double")
 
 
 @query
 def md_table(spark, d):
-    return files.pipe_table(spark.createDataFrame([(x,) for x in RUNS], "line string"), COLUMNS)
+    return files.pipe_rows_of(spark, _written(spark, ["\n".join(RUNS)]) + "/0", COLUMNS)
 
 
 @query
 def drift(spark, d):
-    table = files.pipe_table(spark.createDataFrame([(x,) for x in RUNS], "line string"), COLUMNS)
     measured = spark.createDataFrame([("1", "T", "579", "2291", "0.7398140"), ("2", "T", "1208", "1511", "0.707684"), ("3", "ST", "460", "467", "66.3")], ", ".join(f"{c} string" for c in COLUMNS))
-    return reports.drift(table, measured, "run", COLUMNS[2:])
+    return reports.drift(md_table(spark, d), measured, "run", COLUMNS[2:])
+
+
+@query
+def round_trip(spark, d):
+    """Counts as a CSV file, as a table and as a document, written and read back."""
+    folder, counts = files.scratch(spark), class_counts(spark, d)
+    files.write_csv(counts, f"{folder}/csv")
+    files.write_table(counts, f"{folder}/table")
+    wide = counts.agg(F.max(F.when(F.col("label") == "flip", F.col("n"))).alias("flip"), F.max(F.when(F.col("label") == "notflip", F.col("n"))).alias("notflip"))
+    files.write_document(wide, f"{folder}/document")
+    document = files.read_document(spark, f"{folder}/document", "flip long, notflip long").select(F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("n")) for c in ("flip", "notflip")])))
+    cells = files.read_cells(spark, f"{folder}/csv").select("label", F.col("n").cast("long").alias("n"))
+    ways = {"csv": files.read_table(spark, f"{folder}/csv", "label string, n long"), "cells": cells, "table": spark.read.parquet(f"{folder}/table"), "document": document}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(way).alias("way"), "label", "n") for way, rows in ways.items()])
+
+
+@query
+def case_preview(spark, d):
+    return errors.preview(cases21(spark, d))
+
+
+@query
+def report_rules(spark, d):
+    """The rules of a published table, held against one that is made here, with two faults: the
+    last run's address stands nowhere, and the first run's rows do not add up."""
+    late = temporal.matched_suffix(_future(spark, d)).select("regime", "coverage_percent", "future_macro_f1", "future_flip_recall", "matched_macro_f1", "matched_flip_recall")
+    table = run_numbers(spark, d).join(temporal.coverage(_points(spark, d)), ["regime", "coverage_percent"]).join(late, ["regime", "coverage_percent"])
+    table = table.withColumn("n_train", F.col("n_train") + F.when(F.col("run_number") == 1, 1).otherwise(0)).withColumn("run_url", F.concat(F.lit("https://runs.example/"), F.col("run_number").cast("string")))
+    cells = table.select(*[F.col(c).cast("string").alias(c) for c in table.columns])
+    frames = _frames(spark, d)
+    unseen = cohorts.unseen_sources(frames).count()
+    every = frames.agg(F.count("*").alias("n"), F.count_distinct("source_key").alias("k")).first()
+    evidence = spark.range(1, 8).select(F.concat(F.lit("run at https://runs.example/"), F.col("id").cast("string"), F.lit(" .")).alias("line"))
+    return reports.report_rules(cells, evidence, url_prefix="https://runs.example/", sources={"T": every.k, "ST": unseen}, rows_of_t=every.n)
+
+
+@query
+def class_activation(spark, d):
+    """Embeddings as four channels of 4 x 4 cells, whose gradients are the next channel's cells."""
+    part = lambda k: F.transform(F.slice("embedding", 16 * (k % 4) + 1, 16), lambda v: v.cast("double"))
+    rows = fixtures.table(spark, d, "embeddings").select("vec_id", F.array(*[part(k) for k in range(4)]).alias("m"), F.array(*[part(k + 1) for k in range(4)]).alias("g"))
+    heat = maps.class_activation(rows, "m", "g", ["vec_id"], 4, 4)
+    rounded = F.aggregate("heat", F.lit(0.0), lambda a, x: a + x)
+    return heat.select("vec_id", F.round(rounded, 6).alias("total"), F.round(F.element_at("heat", 1), 6).alias("first"), F.round(F.element_at("heat", 16), 6).alias("last"))
 
 
 def queries() -> dict[str, Query]:

@@ -243,11 +243,18 @@ ORACLE: dict[str, str] = {
   c AS (SELECT vec_id, unnest(range(0, len(a))) AS i, unnest(list_transform(a, lambda v: (v - list_min(a)) / (list_max(a) - list_min(a) + 1e-8))) AS v FROM a)
   SELECT vec_id, round(avg(v), 6) AS mean_normalized_activation, round(avg((v >= 0.5)::INT), 6) AS fraction_ge_50, round(avg((v >= 0.75)::INT), 6) AS fraction_ge_75, round(avg((v >= 0.9)::INT), 6) AS fraction_ge_90,
   round(sum(i % 8 * v) / nullif(sum(v), 0) / 7, 6) AS center_x, round(sum(i // 8 * v) / nullif(sum(v), 0) / (count(*) / 8.0 - 1), 6) AS center_y, max(v) <= 0 AS degenerate FROM c GROUP BY vec_id""",
-    "archive_read": "SELECT * FROM (VALUES (0, 'O', 'near, ceiling', 0.994969::DOUBLE), (1, 'S', 'lower', 0.958387), (2, 'T', 'late', 0.90914)) v(\"index\", regime, finding, point)",
+    "archive_read": "SELECT * FROM (VALUES (0, 'O', 'near, ceiling', 0.994969::DOUBLE), (1, 'S', 'lower \"than\"', 0.958387), (2, 'T', 'a > b', 0.90914), (3, 'ST', NULL, NULL)) v(\"index\", regime, finding, point)",
     "md_table": "SELECT * FROM (VALUES ('1', 'T', '579', '2291', '0.739814'), ('2', 'T', '1208', '1510', '0.707684'), ('3', 'ST', '460', '467', '66.2')) v(run, regime, n_train, n_future, macro_f1)",
     "drift": "SELECT * FROM (VALUES (2, 'n_future', 1510::DOUBLE, 1511::DOUBLE), (3, 'macro_f1', 66.2, 66.3)) v(run, \"column\", reported, measured)",
+    "round_trip": with_(M, "SELECT way, label, count(*) AS n FROM m, (VALUES ('csv'), ('cells'), ('table'), ('document')) v(way) GROUP BY way, label"),
+    "report_rules": "SELECT * FROM (VALUES ('eight_runs', 0::BIGINT), ('run_order', 0), ('coverage_cycle', 0), ('future_sources', 0), ('accounting', 1), ('shares', 0), ('address', 0), ('address_in_evidence', 1)) v(rule, violations)",
+    "class_activation": """WITH c AS (SELECT vec_id, k, list_transform(embedding[16 * k + 1 : 16 * k + 16], lambda v: v::DOUBLE) AS a, list_avg(list_transform(embedding[16 * ((k + 1) % 4) + 1 : 16 * ((k + 1) % 4) + 16], lambda v: v::DOUBLE)) AS w FROM embeddings, (SELECT unnest(range(0, 4)) AS k)),
+  s AS (SELECT vec_id, i, greatest(sum(w * a[i]), 0) AS v FROM (SELECT *, unnest(range(1, 17)) AS i FROM c) GROUP BY vec_id, i),
+  h AS (SELECT vec_id, i, (v - min(v) OVER o) / (max(v) OVER o - min(v) OVER o + 1e-8) AS v FROM s WINDOW o AS (PARTITION BY vec_id))
+  SELECT vec_id, round(sum(v), 6) AS total, round(max(v) FILTER (i = 1), 6) AS first, round(max(v) FILTER (i = 16), 6) AS last FROM h GROUP BY vec_id""",
     "run_numbers": with_(PTS, "SELECT regime, coverage_percent, row_number() OVER (ORDER BY CASE WHEN regime = 'T' THEN 1 ELSE 2 END, coverage_percent) AS run_number FROM (SELECT DISTINCT regime, coverage_percent FROM pts)"),
     "global_epoch": with_(SCORES, "SELECT run, CASE WHEN epoch <= 5 THEN 'head' ELSE 'full' END AS stage, CASE WHEN epoch <= 5 THEN epoch ELSE epoch - 5 END AS epoch, epoch AS global_epoch FROM es"),
     "prefixed_metrics": with_(f"{S}, te AS (SELECT * FROM al WHERE role IN ('validation', 'test')), {predicted('pt', 'te')}, cf AS (SELECT regime, role, {CELLS} FROM pt GROUP BY ALL), ml AS (SELECT regime, role, round({MACRO}, 6) AS f, round({div('tp + tn', 'tp + tn + fp + fn')}, 6) AS a FROM cf)", "SELECT regime, max(f) FILTER (role = 'validation') AS val_macro_f1, max(a) FILTER (role = 'validation') AS val_accuracy, max(f) FILTER (role = 'test') AS test_macro_f1, max(a) FILTER (role = 'test') AS test_accuracy FROM ml GROUP BY regime"),
 }
 ORACLE["audit_rows"] = f"SELECT name, value::VARCHAR AS value FROM (UNPIVOT ({ORACLE['audit']}) ON COLUMNS(*) INTO NAME name VALUE value)"
+ORACLE["case_preview"] = f"SELECT * FROM ({ORACLE['cases21']}) ORDER BY list_position(['O', 'S', 'T', 'ST'], regime), selection_role, sample_id LIMIT 4"

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
+import shutil
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +34,26 @@ def discover_images(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder of the session, deleted when Python ends; on a
+    single machine that names none, below a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="cohortlab-files-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = f"{base.rstrip('/')}/cohortlab-files-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    atexit.register(gone)
+    return path
+
+
 def dataset_root(spark: SparkSession, root: str) -> str:
     """`root`, or the folder `images` below it: the one that has both split folders. Looked up
     through Spark's file systems, so that the root may be in any store."""
@@ -48,7 +74,7 @@ def content_digests(spark: SparkSession, root: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with header under an explicit schema: identifiers keep their leading zeros."""
-    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
+    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", escape='"')
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +88,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def archived_lines(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -81,7 +107,7 @@ def archived_lines(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def read_archived(texts: DataFrame, schema: str) -> DataFrame:
     """The data rows of archived exports under a schema; the header is not read."""
     rows = archived_lines(texts).where(F.col("n") > 0)
-    return rows.select(F.from_csv("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return rows.select(F.from_csv("line", schema, {"mode": "FAILFAST", "escape": '"'}).alias("r")).select("r.*")
 
 
 def read_archived_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -89,10 +115,11 @@ def read_archived_file(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def pipe_table(lines: DataFrame, columns: list[str], most: int = 8, line_col: str = "line") -> DataFrame:
-    """Rows of a markdown table whose first cell is 1 .. most; commas and percent signs go."""
+    """Rows of a markdown table, lines that begin with a bar and a space, whose first cell is
+    1 .. most; commas and percent signs go. Rows of another width are refused."""
     cells = F.transform(F.split(F.col(line_col), r"\|"), lambda c: F.regexp_replace(F.trim(c), "[,%]", ""))
     inner = F.slice(cells, 2, F.greatest(F.size(cells) - 2, F.lit(0)))
-    rows = lines.select(inner.alias("c")).where(F.col("c")[0].isin([str(k) for k in range(1, most + 1)]))
+    rows = lines.where(F.startswith(F.trim(F.col(line_col)), F.lit("| "))).select(inner.alias("c")).where(F.col("c")[0].isin([str(k) for k in range(1, most + 1)]))
     accepted(rows, F.size("c") == len(columns), "unexpected width of a pipe table")
     return rows.select(*[F.col("c")[i].alias(name) for i, name in enumerate(columns)])
 
