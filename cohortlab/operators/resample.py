@@ -28,6 +28,8 @@ def numbered(per_source: DataFrame, *by: str) -> DataFrame:
 def hash_draws(groups: DataFrame, reps: int, seed: int, *by: str) -> DataFrame:
     """(by.., rep, idx): k draws a resample, each the md5 of seed, resample and slot."""
     reps_ = groups.select(*by, "k").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    # few short rows that unfold to many: dealt by the resample, whose sums then need no exchange
+    reps_ = reps_.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "rep")
     some = reps_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(k - 1) div {SLOTS}"))))
     low, high = F.col("block") * SLOTS + 1, F.least(F.col("k"), (F.col("block") + 1) * SLOTS)
     slots = some.withColumn("slot", F.explode(F.sequence(low, high)))
