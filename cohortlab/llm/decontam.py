@@ -57,22 +57,36 @@ def is_slot(t: Column) -> Column:
     return (t >= NAME) & (t < END)
 
 
-def template_windows(df: DataFrame, keep: list[str], text: Column, widths: list[int]) -> DataFrame:
-    """keep.. , n (tokens), w (width), pos, h (hash of the window's template, with the values if more
-    than half are slots), slots (its marked values, or null), for all widths at once."""
+def _token_arrays(df: DataFrame, keep: list[str], text: Column, widths: list[int]) -> DataFrame:
+    """keep.. , tok, th (hashes of the tokens, slots by their type), n."""
     tok = _hold(df, keep, tok=tokens(text))
-    arrays = _hold(
-        tok, keep, tok=F.col("tok"), th=F.transform("tok", lambda t: F.xxhash64(F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))), slotted=F.exists("tok", is_slot), n=F.size("tok")
-    ).where(F.col("n") >= min(widths))
+    return _hold(tok, keep, tok=F.col("tok"), th=F.transform("tok", lambda t: F.xxhash64(F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))), n=F.size("tok")).where(F.col("n") >= min(widths))
+
+
+def _at_all(widths: list[int], window) -> Column:
+    """Array of window(width, place) at all places, for all widths."""
 
     def of(w: int) -> Column:
         windows = F.greatest(F.col("n") - (w - 1), F.lit(0)) if w >= LEAST_TOKENS else (F.col("n") == w).cast("int")
-        at = F.slice(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), F.lit(1), windows)
-        return F.transform(at, lambda i: F.struct(F.lit(w).alias("w"), i.alias("pos"), F.xxhash64(F.lit(w), F.slice("th", i, w)).alias("h"), F.when(F.col("slotted"), F.filter(F.slice("tok", i, w), is_slot)).alias("slots")))
+        return F.transform(F.slice(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), F.lit(1), windows), lambda i: window(w, i))
+
+    return F.concat(*map(of, widths)) if len(widths) > 1 else of(widths[0])
+
+
+def template_windows(df: DataFrame, keep: list[str], text: Column, widths: list[int]) -> DataFrame:
+    """keep.. , n (tokens), w (width), pos, g (hash of the window's template), h (the same, with the
+    values if more than half are slots), slots (its marked values, or null), for all widths at once."""
+    arrays = _token_arrays(df, keep, text, widths)
+    window = lambda w, i: F.struct(F.lit(w).alias("w"), i.alias("pos"), F.xxhash64(F.lit(w), F.slice("th", i, w)).alias("g"), F.filter(F.slice("tok", i, w), is_slot).alias("slots"))
+    rows = _hold(arrays, [*keep, "n"], wins=_at_all(widths, window)).select(*keep, "n", F.inline("wins"))
+    rows = rows.withColumn("slots", F.when(F.size("slots") > 0, F.col("slots")))
+    return rows.withColumn("h", F.when(is_heavy("slots", F.col("w")), F.xxhash64("g", "slots")).otherwise(F.col("g")))
+
 
-    wins = F.concat(*[of(w) for w in widths]) if len(widths) > 1 else of(widths[0])
-    rows = _hold(arrays, [*keep, "n"], wins=wins).select(*keep, "n", F.inline("wins"))
-    return rows.withColumn("h", F.when(is_heavy("slots", F.col("w")), F.xxhash64("h", "slots")).otherwise(F.col("h")))
+def template_hashes(df: DataFrame, keep: list[str], text: Column, widths: list[int]) -> DataFrame:
+    """keep.. , g of all windows, without their slots."""
+    arrays = _token_arrays(df, keep, text, widths)
+    return _hold(arrays, keep, wins=_at_all(widths, lambda w, i: F.xxhash64(F.lit(w), F.slice("th", i, w)))).select(*keep, F.explode("wins").alias("g"))
 
 
 def is_heavy(slots: str, width: Column) -> Column:
@@ -98,12 +112,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_w
     own = F.least(F.col("n"), F.lit(width))
     widths = sorted(r.w for r in b.select(F.least(F.size(tokens(F.col("t"))), F.lit(width)).alias("w")).distinct().collect() if r.w > 0) or [width]
     items = template_windows(b, ["item"], F.col("t"), widths).where(F.col("w") == own)
-    items = materialize(items.select("item", "w", F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots")))
+    items = materialize(items.select("item", "w", F.col("pos").alias("bpos"), "g", "h", F.col("slots").alias("bslots")))
     text = ~is_heavy("bslots", F.col("w"))
     sizes = items.groupBy("item").agg(F.count_distinct("bpos").alias("item_windows"), F.count_distinct(F.when(text, F.col("bpos"))).alias("text_windows"))
     small = items.count() <= BROADCAST_WINDOWS
-    windows = template_windows(d, ["id", "text_key"], F.col("t"), widths).drop("n")
-    hits = windows.join(F.broadcast(items) if small else items, ["h", "w"])
+    templates = items.select("g").distinct()
+    # texts with a window of some item's template: only theirs are taken with their slots
+    held = template_hashes(d, ["text_key"], F.col("t"), widths).join(F.broadcast(templates) if small else templates, "g", "left_semi")
+    d = d.join(sized(materialize(held.select("text_key").distinct())), "text_key", "left_semi")
+    windows = template_windows(d, ["id", "text_key"], F.col("t"), widths).drop("n", "g")
+    hits = windows.join(F.broadcast(items.drop("g")) if small else items.drop("g"), ["h", "w"])
     values = F.when(F.col("bslots").isNotNull(), F.zip_with("bslots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
     pairs = lambda which: F.array_distinct(F.flatten(F.collect_set(F.when(which, values))))
     distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
