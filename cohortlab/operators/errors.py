@@ -58,6 +58,7 @@ def _resolve(by: list[str], pools: DataFrame, order: list[str]) -> DataFrame:
 def four_cases(pred: DataFrame, *by: str) -> DataFrame:
     """Four roles a group, none twice the same sample; a role without a row has found = false."""
     wrong, right = _conditions()
+    # fixed values: the names of the roles
     roles = {"Correct notflip": (right & (F.col("target") == 0), "confidence"), "Correct flip": (right & (F.col("target") == 1), "confidence"), "High-confidence error": (wrong, "confidence"), "Borderline error": (wrong, "distance")}
     chosen = _resolve(list(by), _pools(list(by), pred, roles, 2), list(roles))
     every = pred.select(*by).distinct().withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles])))
@@ -67,6 +68,7 @@ def four_cases(pred: DataFrame, *by: str) -> DataFrame:
 def many_cases(pred: DataFrame) -> DataFrame:
     """Five roles a regime and one more borderline row of regime O; only rows that exist."""
     wrong, right = _conditions()
+    # fixed values: the names of the roles
     roles = {"correct_notflip": (right & (F.col("target") == 0), "confidence"), "correct_flip": (right & (F.col("target") == 1), "confidence"), "highest_conf_error": (wrong, "confidence"), "near_threshold_error": (wrong, "distance"), "near_threshold_correct": (right, "distance")}
     roles |= {"additional_borderline": (F.col("regime") == "O", "distance")}
     out = _resolve(["regime"], _pools(["regime"], pred, roles, 6), list(roles))
