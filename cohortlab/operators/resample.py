@@ -48,11 +48,11 @@ def numpy_draws(groups: DataFrame, reps: int, seed: int, *by: str) -> DataFrame:
 
 def cluster_bootstrap(pred: DataFrame, *by: str, reps: int = 5000, seed: int = 42, draws: str = "hash") -> DataFrame:
     """Percentile interval of macro F1 over resampled sources; `draws` is hash or numpy."""
-    per = numbered(pred.groupBy(*by, "source_key").agg(*C.cells()), *by)
+    per = numbered(pred.groupBy(*by, "source_key").agg(*C.cells()), *by).persist()  # a short row a source, read three times
     drawn = {"hash": hash_draws, "numpy": numpy_draws}[draws](per, reps, seed, *by)
     sums = drawn.join(per.select(*by, "idx", *PARTS), [*by, "idx"]).groupBy(*by, "rep").agg(*[F.sum(p).alias(p) for p in PARTS])
     scores = sums.select(*by, C.macro_f1().alias("s"))
-    point = pred.groupBy(*by).agg(F.count_distinct("source_key").alias("n_sources"), *C.cells()).select(*by, "n_sources", F.round(C.macro_f1(), 6).alias("point_macro_f1"))
+    point = per.groupBy(*by).agg(F.count("*").alias("n_sources"), *[F.sum(p).alias(p) for p in PARTS]).select(*by, "n_sources", F.round(C.macro_f1(), 6).alias("point_macro_f1"))
     return point.join(interval(scores, *by), list(by)) if by else point.join(F.broadcast(interval(scores)))
 
 
@@ -92,7 +92,7 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, reps: int = 5000, seed: int = 4
         hit = lambda t, p: F.count_if((F.col("target") == t) & (F.col(f"prediction_{side}") == p))
         return [hit(t, p).alias(f"{n}_{side}") for n, t, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
     names = [f"{p}_{s}" for s in "ab" for p in PARTS]
-    per = numbered(rows.groupBy("source_key").agg(*cells("a"), *cells("b")))
+    per = numbered(rows.groupBy("source_key").agg(*cells("a"), *cells("b"))).persist()
     sums = hash_draws(per, reps, seed).join(per.select("idx", *names), "idx").groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
     total = per.agg(*[F.sum(n).alias(n) for n in names])
     def side(df: DataFrame, s: str, out: str) -> DataFrame:
