@@ -1,6 +1,6 @@
 """An extension: running confusion counts of predictions that arrive as a stream.
 
-The batch operators are the reference semantics; this keeps the same counts up to date.
+The batch operators say what is counted; this keeps the same counts up to date.
 """
 
 from __future__ import annotations
