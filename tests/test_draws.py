@@ -65,3 +65,18 @@ def test_sums_in_one_pass_and_in_several(spark, monkeypatch):
 def test_cluster_draws_are_no_rows(frames):
     """2,000 sources and 100 resamples: 200,000 draws."""
     assert most_rows(resample.cluster_bootstrap(frames, "regime", reps=100)) < 50_000
+
+
+def test_frame_draws_are_no_rows_and_equal_a_loop(frames):
+    """6,000 frames and 30 resamples: 180,000 draws."""
+    df = resample.frame_bootstrap(frames, "regime", reps=30)
+    assert most_rows(df) < 50_000
+    cells = [tuple(r) for r in frames.select("target", "prediction").collect()]
+    ends = [cells.count((0, 0)), cells.count((0, 1)), cells.count((1, 0))]
+    scores = []
+    for rep in range(1, 31):
+        at = [number(42, rep, s) % 6000 for s in range(1, 6001)]
+        tn, fp, fn = (sum(sum(ends[:i]) <= x < sum(ends[: i + 1]) for x in at) for i in range(3))
+        tp = 6000 - tn - fp - fn
+        scores.append((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2)
+    assert df.first().bootstrap_mean == pytest.approx(sum(scores) / 30, abs=2e-6)
