@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.operators import draws, resample
+from cohortlab.operators import draws, reports, resample
 
 
 def number(seed, rep, slot):
@@ -80,3 +80,7 @@ def test_frame_draws_are_no_rows_and_equal_a_loop(frames):
         tp = 6000 - tn - fp - fn
         scores.append((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2)
     assert df.first().bootstrap_mean == pytest.approx(sum(scores) / 30, abs=2e-6)
+
+
+def test_error_bars_draw_no_rows(frames):
+    assert most_rows(reports.error_bars(resample.cluster_bootstrap(frames.withColumn("regime", F.lit("T")), "regime", reps=100))) < 50_000
