@@ -84,3 +84,8 @@ def test_frame_draws_are_no_rows_and_equal_a_loop(frames):
 
 def test_error_bars_draw_no_rows(frames):
     assert most_rows(reports.error_bars(resample.cluster_bootstrap(frames.withColumn("regime", F.lit("T")), "regime", reps=100))) < 50_000
+
+
+def test_paired_draws_are_no_rows(frames):
+    other = frames.withColumn("prediction", F.col("target"))
+    assert most_rows(resample.paired_bootstrap(frames, other, reps=100)) < 50_000
