@@ -137,6 +137,32 @@ def test_classes_against_all_pairs(spark):
     assert fp.near_classes(df.limit(0)).count() == 0
 
 
+def same_classes(spark, prints):
+    df = spark.createDataFrame([(i, x.tobytes().hex()) for i, x in enumerate(prints)], "doc_id long, fingerprint string")
+    want, least = classes(prints), {}
+    for i, r in enumerate(want):
+        least[r] = min(i, least.get(r, i))
+    return {r.doc_id: r.class_id for r in fp.near_classes(df).collect()} == {i: least[r] for i, r in enumerate(want)}
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_crowded_bands_lose_no_class(spark, monkeypatch, block):
+    """Slots of two values each: nearly every band is crowded, few of its nodes are alike."""
+    monkeypatch.setattr(fp, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(5)
+    prints = np.full((300, fp.WALKS * fp.SLOTS), 7, np.uint8)
+    prints[:, rng.permutation(fp.WALKS * fp.SLOTS)[:88]] += rng.integers(0, 2, (300, 88), np.uint8)
+    want = classes(prints)
+    assert 20 < len(set(want)) < 280
+    assert same_classes(spark, prints)
+
+
+def test_any_two_alike_share_a_first_band():
+    bands = fp.whole_bands(0.8)
+    assert len(bands) == 13 * fp.WALKS and sorted(k for b in bands for k in b) == list(range(fp.WALKS * fp.SLOTS))
+    assert len(fp.whole_bands(1.0)) == fp.WALKS and len(fp.whole_bands(0.0)) == fp.SLOTS * fp.WALKS
+
+
 def test_query(spark):
     path = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()
