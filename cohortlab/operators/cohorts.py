@@ -29,15 +29,19 @@ def supplied(role: Column) -> Column:
     return refused(~known, role, "O: supplied split of ", F.col("sample_id"))
 
 
-def holdout(df: DataFrame, key: str, fraction: float, seed: int, stratum: str = "label") -> DataFrame:
-    """The rows held out: ceil(fraction x rows) in all, shared over strata by largest remainder,
-    in each stratum the rows of least hash."""
-    counts = df.groupBy(stratum).agg(F.count("*").alias("c"))
+def shares(counts: DataFrame, fraction: float, stratum: str) -> DataFrame:
+    """(stratum, c, take): ceil(fraction x rows) shared over strata of c rows by largest remainder."""
     every = Window.partitionBy()
     sized = counts.withColumn("all", F.sum("c").over(every)).withColumn("total", F.ceil(F.lit(fraction) * F.col("all")))
     parts = sized.withColumn("base", F.expr("total * c div all")).withColumn("rem", F.expr("total * c % all"))
     rank = F.row_number().over(Window.orderBy(F.col("rem").desc(), stratum))
-    take = parts.select(stratum, (F.col("base") + (rank <= F.col("total") - F.sum("base").over(every)).cast("long")).alias("take"))
+    return parts.select(stratum, "c", (F.col("base") + (rank <= F.col("total") - F.sum("base").over(every)).cast("long")).alias("take"))
+
+
+def holdout(df: DataFrame, key: str, fraction: float, seed: int, stratum: str = "label") -> DataFrame:
+    """The rows held out: ceil(fraction x rows) in all, shared over strata by largest remainder,
+    in each stratum the rows of least hash."""
+    take = shares(df.groupBy(stratum).agg(F.count("*").alias("c")), fraction, stratum)
     return in_hash_order(df, stratum, key, seed).join(take, stratum).where(F.col("r") <= F.col("take")).select(key)
 
 
@@ -60,10 +64,13 @@ def split_o(frames: DataFrame, seed: int = 42) -> DataFrame:
 def source_roles(frames: DataFrame, seed: int = 42) -> DataFrame:
     """(source_key, label, role): a fifth of the sources tests, a tenth of the rest validates."""
     known = sources(frames)
-    split = _flagged(known, holdout(known, "source_key", 0.2, seed), "source_key", "unseen")
-    val = holdout(split.where(~F.col("unseen")).select("source_key", "label"), "source_key", 0.1, seed)
-    role = F.when(F.col("unseen"), "test").when(F.col("held"), "validation").otherwise("train")
-    return _flagged(split, val, "source_key", "held").select("source_key", "label", role.alias("role"))
+    counts = known.groupBy("label").agg(F.count("*").alias("c"))
+    unseen = shares(counts, 0.2, "label").withColumnRenamed("take", "_unseen")
+    rest = unseen.where(F.col("c") > F.col("_unseen")).select("label", (F.col("c") - F.col("_unseen")).alias("c"))
+    taken = unseen.join(shares(rest, 0.1, "label").select("label", F.col("take").alias("_held")), "label", "left")
+    # one order of the hash for both: what validates comes right behind what tests
+    role = F.when(F.col("r") <= F.col("_unseen"), "test").when(F.col("r") <= F.col("_unseen") + F.col("_held"), "validation").otherwise("train")
+    return in_hash_order(known, "label", "source_key", seed).join(taken, "label").select("source_key", "label", role.alias("role"))
 
 
 def split_s(frames: DataFrame, seed: int = 42) -> DataFrame:

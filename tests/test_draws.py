@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.operators import draws, reports, resample
+from cohortlab.operators import cohorts, draws, reports, resample
 
 
 def number(seed, rep, slot):
@@ -89,3 +89,43 @@ def test_error_bars_draw_no_rows(frames):
 def test_paired_draws_are_no_rows(frames):
     other = frames.withColumn("prediction", F.col("target"))
     assert most_rows(resample.paired_bootstrap(frames, other, reps=100)) < 50_000
+
+
+def reads(df):
+    """How often the plan reads its frames; what is kept is read once."""
+    todo, kept, n = [df._jdf.queryExecution().sparkPlan()], [], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "InMemoryTableScanExec":
+            built = node.relation().cacheBuilder()
+            if not any(built.equals(k) for k in kept):
+                kept.append(built)
+                todo.append(built.cachedPlan())
+        elif kind == "AdaptiveSparkPlanExec":
+            todo.append(node.inputPlan())
+        else:
+            n += not node.children().size()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+@pytest.fixture(scope="module")
+def read_frames(spark):
+    rows = spark.range(400).select(F.col("id").cast("string").alias("sample_id"), (F.col("id") % 40).cast("string").alias("source_key"), F.expr("id div 40").alias("frame_number"))
+    rows = rows.withColumn("target", (F.col("source_key").cast("int") % 2)).withColumn("label", F.when(F.col("target") == 1, "flip").otherwise("notflip"))
+    return rows.withColumns({"supplied_split": F.when(F.col("frame_number") % 5 == 0, "testing").otherwise("training"), "prediction": (F.hash("sample_id") % 3 == 0).cast("int")})
+
+
+def test_cohorts_of_all_regimes_read_the_frames_a_few_times(read_frames):
+    assert reads(cohorts.all_splits(read_frames)) <= 10
+
+
+def test_held_out_sources_are_two_hold_outs(read_frames):
+    """Those that validate are a tenth of what the test leaves, in the same order."""
+    known = cohorts.sources(read_frames)
+    unseen = {r.source_key for r in cohorts.holdout(known, "source_key", 0.2, 42).collect()}
+    held = {r.source_key for r in cohorts.holdout(known.where(~F.col("source_key").isin(*unseen)), "source_key", 0.1, 42).collect()}
+    got = {r.source_key: r.role for r in cohorts.source_roles(read_frames).collect()}
+    assert len(unseen) == 8 and len(held) == 4 and len(got) == 40
+    assert got == {k: "test" if k in unseen else "validation" if k in held else "train" for k in got}
