@@ -129,3 +129,7 @@ def test_held_out_sources_are_two_hold_outs(read_frames):
     got = {r.source_key: r.role for r in cohorts.source_roles(read_frames).collect()}
     assert len(unseen) == 8 and len(held) == 4 and len(got) == 40
     assert got == {k: "test" if k in unseen else "validation" if k in held else "train" for k in got}
+
+
+def test_error_bars_read_the_predictions_once(read_frames):
+    assert reads(reports.error_bars(resample.cluster_bootstrap(read_frames.withColumn("regime", F.lit("T")), "regime", reps=10))) == 1
