@@ -83,7 +83,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, reps: int = 5000, seed: int = 4
         hit = lambda t, p: F.count_if((F.col("target") == t) & (F.col(f"prediction_{side}") == p))
         return [hit(t, p).alias(f"{n}_{side}") for n, t, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
     names = tuple(f"{p}_{s}" for s in "ab" for p in PARTS)
-    per = numbered(rows.groupBy("source_key").agg(*cells("a"), *cells("b"))).persist()
+    counts = rows.groupBy("source_key").agg(*cells("a"), *cells("b")).persist()  # as in cluster_bootstrap
+    per = numbered(counts).persist()
     sums = D.sums(per, names, reps, seed)
     total = per.agg(*[F.sum(n).alias(n) for n in names])
     def side(df: DataFrame, s: str, out: str) -> DataFrame:

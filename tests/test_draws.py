@@ -133,3 +133,8 @@ def test_held_out_sources_are_two_hold_outs(read_frames):
 
 def test_error_bars_read_the_predictions_once(read_frames):
     assert reads(reports.error_bars(resample.cluster_bootstrap(read_frames.withColumn("regime", F.lit("T")), "regime", reps=10))) == 1
+
+
+def test_paired_bootstrap_reads_the_pairs_once(read_frames):
+    other = read_frames.withColumn("prediction", F.col("target"))
+    assert reads(resample.paired_bootstrap(read_frames, other, reps=10)) == 2
