@@ -12,9 +12,9 @@ sample the same step as often as their lengths allow, and records 8 bits of a ha
 the four characters there. Two independent walks fill half of the slots each: a walk that
 an edit throws out of step may take long to fall in again, but seldom both. Likeness is the
 larger share of equal slots of the two. Bands are sampled bits: all bits of a few slots of
-one walk, drawn by a seed; the first bands part a walk's slots so that fingerprints alike
-have one in common for certain. Fingerprints that are equal in a band are candidates, which
-are then verified by their likeness.
+one walk, drawn by a seed, which part the walk's slots so that fingerprints alike have one in
+common for certain. Fingerprints that are equal in a band are candidates, which are then
+verified by their likeness.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ from cohortlab.llm.graph import components
 WALKS, SLOTS, STEPS, WIDE = 2, 64, 3, 4
 #: Steps after which the walk's random bits repeat, and classes of characters.
 CYCLE, CLASSES = 1 << 13, 256
-#: Sampled slots of a band in the rounds after the first, bands of a walk there, fingerprints of a
-#: band value whose pairs are all compared at once, and of a block of what is left of larger ones.
-BAND, BANDS, SMALL, BLOCK = (8, 16), 6, 8, 4096
+#: Fingerprints of a band value all of whose links are told, and of a block of larger ones; pairs
+#: of small ones that are compared at once.
+SMALL, BLOCK, AT_ONCE = 8, 4096, 8192
 #: Below this many walks at once, a walk is stepped alone.
 FEW = 24
 
@@ -268,18 +268,6 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _likeness(a: str, b: str):
-    """Column: likeness of two fingerprints (binary)."""
-    same = lambda walk: F.size(F.filter(F.sequence(F.lit(walk * SLOTS + 1), F.lit((walk + 1) * SLOTS)), lambda k: F.substr(a, k, F.lit(1)) == F.substr(b, k, F.lit(1)))) / SLOTS
-    return F.greatest(*[same(walk) for walk in range(WALKS)])
-
-
-def band_slots(size: int) -> list[list[int]]:
-    """The sampled slots of each band of so many."""
-    rng = np.random.default_rng((17, size))
-    return [sorted(int(x) + walk * SLOTS for x in rng.choice(SLOTS, size, replace=False)) for walk in range(WALKS) for _ in range(BANDS)]
-
-
 def whole_bands(least: float) -> list[list[int]]:
     """Slots of each walk in one part more than slots that can differ at a likeness of `least`:
     fingerprints alike are equal in a whole part."""
@@ -293,103 +281,99 @@ def _banded(nodes: DataFrame, bands: list[list[int]]) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*values)).alias("bucket"))
 
 
-def _rest(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b): links between the classes of each bucket of (bucket, size, node, label, fp), enough
-    to join all classes that have any. Every two nodes of different classes are compared, a
-    block with a block; classes found to be linked count as one from then on."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+def _links(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between the nodes of each bucket of (bucket, size, node, fp), all of them in a
+    small bucket, in a crowded one enough to join all classes that have any. There every two
+    nodes are compared, a block with a block, but those linked already over others of the two."""
+    blocks = F.when(F.col("size") > SMALL, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("long")
     dealt = rows.withColumn("own", F.pmod("node", blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "fp")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "size", "node", "fp")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     ship(rows.sparkSession)
 
-    def linked(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, i, j, own, node, label, fp = zip(*held, strict=True)
-        prints = np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), WALKS * SLOTS)
-        label, own = np.array(label, np.int64), np.array(own)
+    def told(fp: Iterable[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(fp), np.uint8).reshape(-1, WALKS * SLOTS)
+
+    def crowded(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        _, i, j, own, _, node, fp = zip(*held, strict=True)
+        prints, label, own = told(fp), np.arange(len(fp)), np.array(own)
         right = np.flatnonzero(own == j[0])
-        across = np.ascontiguousarray(prints[right].T)
+        across, heads = np.ascontiguousarray(prints[right].T), []
+
+        def joined(x: int, at: np.ndarray) -> Iterator[tuple[int, int]]:
+            """Links of x with those of the right at `at`; its class takes theirs in."""
+            same = (across[:, at] == prints[x][:, None]).reshape(WALKS, SLOTS, -1).sum(1, dtype=np.uint8).max(0)
+            for y in at[same / SLOTS >= least].tolist():
+                if label[right[y]] != label[x]:
+                    label[label == label[right[y]]] = label[x]
+                    if all(label[right[h]] != label[x] for h in heads):
+                        heads.append(y)
+                    yield node[x], node[right[y]]
+
         for x in np.flatnonzero(own == i[0]).tolist():
+            if i[0] != j[0] and heads:  # one of each class that has links: mostly all that is needed
+                yield from joined(x, np.array(heads))
             apart = label[right] != label[x]
             if i[0] == j[0]:
                 apart &= right > x
             at = np.flatnonzero(apart)
-            if not at.size:
-                continue
-            same = (across[:, at] == prints[x][:, None]).reshape(WALKS, SLOTS, -1).sum(1, dtype=np.uint8).max(0)
-            for y in right[at[same / SLOTS >= least]].tolist():
-                if label[y] != label[x]:
-                    label[label == label[y]] = label[x]
-                    yield max(node[x], node[y]), min(node[x], node[y])
+            if at.size:
+                yield from joined(x, at)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(held: list[tuple]) -> pa.RecordBatch:
-            pairs = np.array(list(linked(held)), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
         held: list[tuple] = []
+        few: list[tuple] = []  # pairs (node, fp, node, fp) of small buckets
+
+        def found(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+            p = np.array(list(pairs), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(p.max(1)), pa.array(p.min(1))], ["a", "b"])
+
+        def small() -> pa.RecordBatch:
+            a, fa, b, fb = zip(*few, strict=True)
+            alike = np.flatnonzero(likeness(told(fa), told(fb)) >= least).tolist()
+            few.clear()
+            return found((a[k], b[k]) for k in alike)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held[0][4] > SMALL:
+                yield found(crowded(held))
+            else:
+                few.extend((*x[5:], *y[5:]) for k, x in enumerate(held) for y in held[:k])
+                if len(few) >= AT_ONCE:
+                    yield small()
+            held.clear()
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
-                    yield found(held)
-                    held = []
+                    yield from close()
                 held.append(row)
         if held:
-            yield found(held)
+            yield from close()
+        if few:
+            yield small()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of crowded buckets whose nodes are of several classes, with their label."""
-    of = met.where(F.col("size") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
-    return of.join(mixed, "bucket")
-
-
 def near_classes(prints: DataFrame, *, least: float = 0.8, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
     """The rows of `prints` with class_id and links (verified links of the row's fingerprint).
 
     Equal fingerprints are one node; the others are linked at a likeness of `least`. Any two so
-    alike share one of the first bands. Of bands with few nodes all pairs are compared, nodes of
-    a crowded one with one of them; if they then are of several classes, they meet again in
-    longer bands. Where a crowded first band is still of several classes, all its pairs of
-    different classes are compared (`_rest`): work there grows with pairs, and no class is
-    missed or split. `links` counts the links that were verified; nodes that are of one class
-    already are not all compared.
+    alike share a band. Nodes of a band are compared where they meet (`_links`), all pairs of
+    few, and of a crowded band those of different classes, so that no class is missed or split:
+    work there grows with pairs. `links` counts the links that were verified; nodes of a crowded
+    band that are of one class already are not all compared.
     class_id is the least id of the linked nodes, null if none has one. Null fingerprints are
     a class of their own; repeated rows get a row each; an empty table gives an empty result.
     """
     rows = prints.select(F.col(id_col).alias("id"), F.coalesce(print_col, F.lit("")).alias("fp"))
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("fp")))
     known = nodes.where(F.length("fp") == 2 * WALKS * SLOTS).select("node", F.unhex("fp").alias("fp"))
-    inside, tried, links, labels, first = known, None, None, None, None
-    for bands in (whole_bands(least), *map(band_slots, BAND)):
-        buckets = _banded(inside, bands)
-        # node numbers are hashes: the least of a band is the least of most bands of its group
-        sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where(F.col("size") > 1)
-        met = materialize(buckets.join(sizes, "bucket"))
-        first = met if first is None else first
-        small = met.where(F.col("size") <= SMALL).select("bucket", "node")
-        pairs = small.alias("l").join(small.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") > F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        crowded = met.where((F.col("size") > SMALL) & (F.col("node") != F.col("hub")))
-        pairs = pairs.union(crowded.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        both = pairs.join(known.toDF("a", "fa"), "a").join(known.toDF("b", "fb"), "b")
-        found = materialize(both.where(_likeness("fa", "fb") >= least).select("a", "b"))
-        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
-        if labels is None or not found.isEmpty():
-            labels = components(links)
-        again = materialize(_mixed(met, labels).select("node").distinct())
-        if again.isEmpty():
-            break
-        inside = known.join(again, "node")
-    left = materialize(_mixed(first, labels).select("bucket", "size", "node", "label"))
-    if not left.isEmpty():
-        found = materialize(_rest(left.join(known, "node"), least).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+    buckets = _banded(known, whole_bands(least))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    links = materialize(_links(buckets.join(sizes, "bucket").join(known, "node").select("bucket", "size", "node", "fp"), least))
+    labels = components(links)
     count = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     told = nodes.join(labels, "node", "left").where(F.col("label").isNotNull() | (F.col("copies") > 1)).withColumn("label", F.coalesce("label", "node"))
     of = told.join(told.groupBy("label").agg(F.min("rep").alias("class_id")), "label").join(count, "node", "left")

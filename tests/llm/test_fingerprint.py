@@ -157,6 +157,20 @@ def test_crowded_bands_lose_no_class(spark, monkeypatch, block):
     assert same_classes(spark, prints)
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_crowded_bands_are_told_in_one_pass(spark, monkeypatch, block):
+    """Groups of near copies that meet in crowded bands: one table of links, whatever the bands."""
+    calls, real = [], fp.components
+    monkeypatch.setattr(fp, "BLOCK", block)
+    monkeypatch.setattr(fp, "components", lambda links: calls.append(1) or real(links))
+    rng = np.random.default_rng(9)
+    prints = np.repeat(rng.integers(0, 2, (3, fp.WALKS * fp.SLOTS), np.uint8), 70, 0)
+    prints[:, rng.permutation(fp.WALKS * fp.SLOTS)[:40]] = rng.integers(0, 9, (210, 40), np.uint8)
+    want = classes(prints)
+    assert 3 < len(set(want)) < 210
+    assert same_classes(spark, prints) and len(calls) == 1
+
+
 def test_any_two_alike_share_a_first_band():
     bands = fp.whole_bands(0.8)
     assert len(bands) == 13 * fp.WALKS and sorted(k for b in bands for k in b) == list(range(fp.WALKS * fp.SLOTS))
