@@ -305,8 +305,8 @@ def bootstrap(spark, d):
 
 
 def _pair(spark, d):
-    both = [fixtures.predictions(cohorts.test_rows(cohorts.split_st(_frames(spark, d))), salt) for salt in ("p", "g")]
-    return both[0], both[1]
+    tests = cohorts.test_rows(cohorts.split_st(_frames(spark, d))).persist()  # both sides, twice each
+    return fixtures.predictions(tests, "p"), fixtures.predictions(tests, "g")
 
 
 @query

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlab.operators import cohorts, draws, reports, resample
+from cohortlab.plans import catalog
 
 
 def number(seed, rep, slot):
@@ -138,3 +139,8 @@ def test_error_bars_read_the_predictions_once(read_frames):
 def test_paired_bootstrap_reads_the_pairs_once(read_frames):
     other = read_frames.withColumn("prediction", F.col("target"))
     assert reads(resample.paired_bootstrap(read_frames, other, reps=10)) == 2
+
+
+def test_both_sides_of_the_pairs_share_their_cohort(spark):
+    a, b = catalog._pair(spark, "/root/testdata/sf0.001")
+    assert reads(resample.paired(a, b)) == reads(a)
